@@ -26,6 +26,8 @@ UNDETERMINED = "und"
 SAMPLE_DOCS = 4096
 WORDS_PER_LANG = 6_000
 EM_ROUNDS = 3
+#: Longest word used for fitting; plain products over it stay above the smallest double.
+FIT_CHARS = 24
 #: Weight of the pooled distribution, in pieces, and the probability of a character no piece covers.
 PRIOR_PIECES = 2000.0
 UNKNOWN = 1e-7
@@ -48,110 +50,124 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(body)}
 
 
-def lattice(words: list[str], vocab: dict[str, int]) -> tuple[np.ndarray, ...]:
-    """Edges (word, start, end, piece) of all segmentations, ordered by end; piece -1 is an unknown character."""
-    longest = max(map(len, vocab), default=1)
-    found = []
-    for w, word in enumerate(words):
-        for s in range(len(word)):
-            some = False
-            for e in range(s + 1, min(len(word), s + longest) + 1):
-                piece = vocab.get(word[s:e])
-                if piece is not None:
-                    found.append((w, s, e, piece))
-                    some |= e == s + 1
-            if not some:
-                found.append((w, s, s + 1, -1))
-    edges = np.array(found, np.int64).reshape(-1, 4)
-    return tuple(edges[np.argsort(edges[:, 2], kind="stable")].T)
-
-
-def _sweep(n: int, size: int, edges: tuple, weights: np.ndarray, longest: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Forward sums (n, size + 1, k) with each column scaled, and the log of all scales up to each column (n, size + 1).
-
-    weights: (edges, k), the probability of each edge's piece in each of k languages.
-    """
-    w, s, e, _ = edges
-    k = weights.shape[1]
-    alpha, scale = np.zeros((size + 1, n, k)), np.zeros((size + 1, n))
-    alpha[0] = 1
-    cuts = np.searchsorted(e, np.arange(1, size + 2))
-    for pos in range(1, size + 1):
-        lo, hi = cuts[pos - 1], cuts[pos]
-        if lo == hi:
-            break
-        at, back = w[lo:hi], s[lo:hi]
-        # Earlier columns have their own scales; bring them to that of the column before.
-        part = alpha[back, at] * weights[lo:hi] * np.exp(scale[back, at] - scale[pos - 1, at])[:, None]
-        col = np.stack([np.bincount(at, part[:, j], n) for j in range(k)], axis=1)
-        top = col.max(axis=1)
-        live = top > 0
-        alpha[pos][live] = col[live] / top[live, None]
-        scale[pos] = scale[pos - 1]
-        scale[pos][live] += np.log(top[live])
-    return alpha, scale
-
-
-def word_scores(words: list[str], vocab: dict[str, int], probs: np.ndarray) -> np.ndarray:
+class Pieces:
+    """Finds all vocabulary pieces in words of one length, by rolling hashes of their substrings."""
+
+    BASE, SPICE, SLOTS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 20
+
+    def __init__(self, vocab: dict[str, int]):
+        self.n, self.longest = len(vocab), max(map(len, vocab), default=1)
+        self.hash = np.zeros(self.n + 1, np.uint64)
+        self.table = np.zeros(1 << self.SLOTS, np.int32)
+        self.depth = 1
+        for piece, i in vocab.items():
+            h = 0
+            for c in piece:
+                h = (h * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            self.hash[i + 1] = h
+            slot, probes = ((h * int(self.SPICE)) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.SLOTS), 1
+            while self.table[slot]:
+                slot, probes = (slot + 1) % len(self.table), probes + 1
+            self.table[slot] = i + 1
+            self.depth = max(self.depth, probes)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece index of each hash, or the number of pieces where there is none."""
+        slot = ((h * self.SPICE) >> np.uint64(64 - self.SLOTS)).astype(np.int32)
+        out = np.full(h.shape, self.n, np.int32)
+        for _ in range(self.depth):
+            at = self.table[slot]
+            hit = (at > 0) & (self.hash[at] == h)
+            out[hit] = at[hit] - 1
+            if not ((at > 0) & ~hit).any():
+                break
+            slot = (slot + 1) % len(self.table)
+        return out
+
+    def ending(self, words: list[str]) -> np.ndarray:
+        """(words, end position, length - 1) -> piece that ends there.
+
+        All words have one length. The number of pieces stands for none, the next number for a single
+        character that no piece covers.
+        """
+        size = len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), size).astype(np.uint64) + np.uint64(1)
+        out = np.full((len(words), size + 1, min(self.longest, size)), self.n, np.int32)
+        h = np.zeros((len(words), size), np.uint64)
+        for length in range(1, out.shape[2] + 1):
+            h = h[:, : size - length + 1] * self.BASE + codes[:, length - 1 :]
+            out[:, length:, length - 1] = self.find(h)
+        out[:, 1:, 0][out[:, 1:, 0] == self.n] = self.n + 1
+        return out
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    return Pieces(vocabulary(path))
+
+
+def _by_length(words: list[str], cells: int = 400_000) -> list[list[int]]:
+    """Positions of words in groups of equal length and bounded size."""
+    groups: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        groups.setdefault(len(w), []).append(i)
+    out = []
+    for size, rows in groups.items():
+        step = max(1, cells // (16 * (size + 1)))
+        out += [rows[lo : lo + step] for lo in range(0, len(rows), step)]
+    return out
+
+
+def _padded(probs: np.ndarray) -> np.ndarray:
+    return np.vstack([probs, np.zeros(probs.shape[1]), np.full(probs.shape[1], UNKNOWN)])
+
+
+def word_scores(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.ndarray:
     """Log probability (words, languages) of each word, summed over its segmentations. probs: (pieces, languages)."""
-    out = np.zeros((len(words), probs.shape[1]))
-    padded = np.vstack([probs, np.full(probs.shape[1], UNKNOWN)])
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    lo = 0
-    while lo < len(order):
-        size, hi = len(words[order[lo]]) + 2, lo
-        while hi < len(order) and hi - lo < 20_000 and len(words[order[hi]]) + 1 <= size:
-            hi += 1
-        rows = order[lo:hi]
-        marked = [MARK + words[i] for i in rows]
-        edges = lattice(marked, vocab)
-        alpha, scale = _sweep(len(rows), size, edges, padded[edges[3]])
-        ends = np.array([len(m) for m in marked])
-        at = np.arange(len(rows))
+    out, weights = np.zeros((len(words), probs.shape[1])), _padded(probs)
+    for rows in _by_length(words):
+        found = pieces.ending([MARK + words[i] for i in rows])
+        n, size, width = found.shape
+        alpha, scale = np.zeros((n, size + width, probs.shape[1])), np.zeros(n)
+        alpha[:, width] = 1
+        for pos in range(1, size):
+            before = alpha[:, pos : pos + width][:, ::-1]
+            alpha[:, pos + width] = np.einsum("nlk,nlk->nk", before, weights[found[:, pos]])
+            if pos % 8 == 0:  # keep long words within the range of doubles
+                window = alpha[:, pos + 1 : pos + 1 + width]
+                top = window.max(axis=(1, 2))
+                window /= top[:, None, None]
+                scale += np.log(top)
         with np.errstate(divide="ignore"):
-            out[rows] = np.log(alpha[ends, at]) + scale[ends, at][:, None]
-        lo = hi
+            out[rows] = np.log(alpha[:, -1]) + scale[:, None]
     return np.maximum(out, -1e6)
 
 
 def fit(counts: dict[str, dict[str, int]], vocab: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and piece probabilities (pieces, languages), from word counts by language."""
-    langs = sorted(counts)
-    words = sorted({w for c in counts.values() for w in c if len(w) <= 24})
-    n, k, m = len(words), len(langs), len(vocab)
-    if not n:
-        return langs, np.full((m, k), 1 / max(1, m))
-    number = {w: i for i, w in enumerate(words)}
-    tally = np.zeros((n, k))
-    for j, lang in enumerate(langs):
-        for w, c in counts[lang].items():
-            if w in number:
-                tally[number[w], j] = c
-    marked = [MARK + w for w in words]
-    size = max(map(len, marked))
-    w, s, e, piece = edges = lattice(marked, vocab)
-    # Words up to 24 characters: plain products stay above the smallest double.
-    backward = np.argsort(-s, kind="stable")
-    length = np.array([len(x) for x in marked])
-    probs = np.full((m, k), 1 / m)
-    starts = np.searchsorted(-s[backward], np.arange(-size, 1))
-    cuts = np.searchsorted(e, np.arange(1, size + 2))
-    for _ in range(rounds):
-        weights = np.vstack([probs, np.full(k, UNKNOWN)])[piece]
-        alpha, beta = np.zeros((size + 1, n, k)), np.zeros((size + 1, n, k))
-        alpha[0], beta[length, np.arange(n)] = 1, 1
-        for pos in range(1, size + 1):
-            cut = slice(cuts[pos - 1], cuts[pos])
-            part = alpha[s[cut], w[cut]] * weights[cut]
-            alpha[pos] = np.stack([np.bincount(w[cut], part[:, j], n) for j in range(k)], axis=1)
-        for pos in range(size - 1, -1, -1):
-            own = backward[starts[size - pos] : starts[size - pos + 1] if pos else len(backward)]
-            part = beta[e[own], w[own]] * weights[own]
-            beta[pos] += np.stack([np.bincount(w[own], part[:, j], n) for j in range(k)], axis=1)
-        total = np.maximum(alpha[length, np.arange(n)], 1e-300)
-        use = alpha[s, w] * weights * beta[e, w] * (tally / total)[w]
-        real = piece >= 0
-        expected = np.stack([np.bincount(piece[real], use[real, j], m) for j in range(k)], axis=1)
+    langs, pieces = sorted(counts), Pieces(vocab)
+    words = sorted({w for c in counts.values() for w in c if len(w) <= FIT_CHARS})
+    k, m = len(langs), len(vocab)
+    tally = np.array([[counts[lang].get(w, 0) for lang in langs] for w in words], float).reshape(len(words), k)
+    probs = np.full((m, k), 1 / max(1, m))
+    groups = [(rows, pieces.ending([MARK + words[i] for i in rows])) for rows in _by_length(words)]
+    for _ in range(rounds if words else 0):
+        weights, expected = _padded(probs), np.zeros((m + 2, k))
+        for rows, found in groups:
+            n, size, width = found.shape
+            alpha, beta = np.zeros((n, size + width, k)), np.zeros((n, size + width, k))
+            alpha[:, width], beta[:, -1] = 1, 1
+            for pos in range(1, size):
+                alpha[:, pos + width] = np.einsum("nlk,nlk->nk", alpha[:, pos : pos + width][:, ::-1], weights[found[:, pos]])
+            share = tally[rows] / np.maximum(alpha[:, -1], 1e-300)
+            for pos in range(size - 1, 0, -1):
+                step = weights[found[:, pos]] * beta[:, pos + width][:, None]
+                beta[:, pos : pos + width][:, ::-1] += step
+                use = step * alpha[:, pos : pos + width][:, ::-1] * share[:, None]
+                flat = found[:, pos].ravel()
+                for j in range(k):
+                    expected[:, j] += np.bincount(flat, use[:, :, j].ravel(), m + 2)
+        expected = expected[:m]
         pooled = expected.sum(axis=1) + 0.05
         expected += PRIOR_PIECES * (pooled / pooled.sum())[:, None]
         probs = expected / expected.sum(axis=0)
@@ -175,24 +191,37 @@ def learn(docs: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DO
 
 
 class _Scorer(dict):
-    """Word -> row of the score table; words not met before wait until ``settle``."""
+    """White-space token -> row of the score table; tokens not met before wait until ``settle``.
+
+    The table has a token's log probability in each language and the number of its letter runs.
+    """
 
     def __init__(self, path: str, probs: np.ndarray):
         super().__init__()
-        self.vocab, self.probs = vocabulary(path), probs
+        self.pieces, self.probs = pieces_of(path), probs
         self.fresh: list[str] = []
-        self.table, self.chars = np.empty((0, probs.shape[1])), 0
+        self.table, self.chars = np.empty((0, probs.shape[1] + 1)), 0
 
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.fresh.append(word)
-        self.chars += len(word)
+    def __missing__(self, token: str) -> int:
+        self[token] = at = len(self)
+        self.fresh.append(token)
+        self.chars += len(token)
         return at
 
     def settle(self) -> None:
-        if self.fresh:
-            self.table = np.vstack([self.table, word_scores(self.fresh, self.vocab, self.probs)])
-            self.fresh = []
+        if not self.fresh:
+            return
+        runs = [LETTERS.findall(t.lower()) for t in self.fresh]
+        distinct = {w: i for i, w in enumerate(dict.fromkeys(w for r in runs for w in r))}
+        rows = np.zeros((len(runs), self.table.shape[1]))
+        if distinct:
+            scores = word_scores(list(distinct), self.pieces, self.probs)
+            own = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
+            at = np.array([distinct[w] for r in runs for w in r])
+            for j in range(scores.shape[1]):
+                rows[:, j] = np.bincount(own, scores[at, j], len(runs))
+            rows[:, -1] = np.bincount(own, minlength=len(runs))
+        self.table, self.fresh = np.vstack([self.table, rows]), []
 
     def relax(self) -> None:
         if len(self) > CACHED_WORDS or self.chars > CACHED_CHARS:
@@ -218,16 +247,17 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, path: str | No
                 part = b.slice(lo, 512)
                 rows = []
                 for text in part.column("_text").to_pylist():
-                    words = LETTERS.findall(text.lower()) if text and langs else []
-                    rows.append(np.fromiter(map(scorer.__getitem__, words), np.int64, len(words)))
+                    tokens = text.split() if text and langs else []
+                    rows.append(np.fromiter(map(scorer.__getitem__, tokens), np.int64, len(tokens)))
                 scorer.settle()
                 names, scores = [], []
                 for ids in rows:
-                    if not len(ids):
+                    total = scorer.table[ids].sum(axis=0)
+                    if not total[-1]:
                         names.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
-                    total = scorer.table[ids].sum(axis=0)
+                    total = total[:-1]
                     odds = np.exp(total - total.max())
                     names.append(langs[int(total.argmax())])
                     scores.append(float(odds.max() / odds.sum()))

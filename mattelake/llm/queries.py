@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mattelake.llm import gray_simhash, hilbert_pack, langid, line_dedup, mixing
+from mattelake.llm import byte_cnn, gray_simhash, hilbert_pack, langid, line_dedup, mixing, pii, toxicity
 from mattelake.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op3_pii": op3_pii,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_hilbert_packing": op7_hilbert_packing,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mattelake.llm.common import materialise, spread
-from mattelake.llm.components import connected_components
+from mattelake.llm.components import connected_components, local_stars
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -102,24 +102,6 @@ class GrayIndex:
             yield q + lo, node
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints -> (fingerprint, smallest one of its part), without roots themselves."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = flat[: len(a)], flat[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, root[left], low)
-        np.minimum.at(new, root[right], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
-
-
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and ``fp``, the fingerprint as a signed long."""
     wanted = docs.select(*keep, F.col(text).alias("text"))
@@ -188,7 +170,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, group_size: int
             up = asked_rank[q] < rank[leaf]
             a.append(words[q[up]])
             b.append(members[leaf[up]])
-        u, v = _stars(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64))
+        u, v = local_stars(np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64))
         return pd.DataFrame({"u": u, "v": v})
 
     return ranks.mapInArrow(routed, "g int, fp long, member boolean").groupBy("g").applyInPandas(joined, "u long, v long")

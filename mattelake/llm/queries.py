@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mattelake.llm import byte_cnn, embedding_dedup, gray_simhash, hilbert_pack, langid, line_dedup, mixing, pii, toxicity
+from mattelake.llm import byte_cnn, embedding_dedup, gray_simhash, hilbert_pack, langid, line_dedup, media, mixing, pii, toxicity
 from mattelake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
+    "op4_webp_media": op4_webp_media,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_hilbert_packing": op7_hilbert_packing,

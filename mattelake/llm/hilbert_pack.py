@@ -8,11 +8,15 @@ driver holds one number for each partition.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -24,8 +28,12 @@ SEPARATOR = 1
 DIMS, BITS = 4, 12
 HASHED = 1024
 SPREAD = 8.0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 CACHED_CHARS = 8_000_000
+ROWS_AT_ONCE = 512
+#: Characters that composition, lower-casing in context or unusual white space may treat otherwise.
+BEYOND = re.compile("[\u0300-\U0010ffff]")
+UNSTEADY = re.compile("[^\x00-\u02ff\u0400-\u04ff\u2010-\u2027\u2030-\u205e\u4e00-\u9fff\uac00-\ud7a3]")
 
 
 def default_tokenizer() -> str:
@@ -44,45 +52,103 @@ def id_bytes(path: str) -> int:
     return 2 if max(tokenizer(path).get_vocab_size(), SEPARATOR + 1) <= 1 << 16 else 4
 
 
+def _low_class(kind: str) -> str:
+    """The characters below U+0300 of a general category, as ranges of a character class."""
+    own = [c for c in range(0x300) if unicodedata.category(chr(c))[0] == kind]
+    starts = [c for c in own if c - 1 not in own]
+    stops = [c for c in own if c + 1 not in own]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, stops))
+
+
+@lru_cache(maxsize=2)
+def word_rule(path: str) -> tuple[re.Pattern, regex.Pattern, np.ndarray] | None:
+    """The pattern of the tokenizer's words and which ids end a word, where it lower-cases and marks word ends.
+
+    The first form of the pattern is for texts below U+0300, with its classes written out.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    lowers = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"]
+    mark = spec["model"].get("end_of_word_suffix")
+    if not (lowers and mark and steps[0].get("type") == "Split" and steps[0].get("invert") and len(steps) == 2):
+        return None
+    ends = np.zeros(tokenizer(path).get_vocab_size() + 1, bool)
+    ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(mark)]] = True
+    rule = steps[0]["pattern"]["Regex"]
+    plain = rule.replace(r"\p{L}", _low_class("L")).replace(r"\p{N}", _low_class("N")).replace(r"\s", "\t-\r \x85\xa0")
+    return re.compile(plain), regex.compile(rule), ends
+
+
 class WordIds(dict):
-    """White-space chunk (bytes) -> number; chunks not met before wait until ``settle``.
+    """Word in lower case -> number; words not met before wait until ``settle``.
 
-    ASCII white space never reaches the tokenizer's pieces, so a text's ids are its chunks' ids in a row.
+    A text's ids are its words' ids in a row. Words are found by the tokenizer's own pattern and go to it
+    joined by spaces, many in one call; the ids that end a word tell them apart. Texts with characters
+    that normalisation may join or change in other ways, or with the beginning of a special token, go to
+    the tokenizer whole.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        self.tok, self.fresh, self.chars = tokenizer(path), [], 0
+        self.tok, self.rule, self.fresh, self.chars = tokenizer(path), word_rule(path), [], 0
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def __missing__(self, chunk: bytes) -> int:
-        self[chunk] = at = len(self)
-        self.fresh.append(chunk)
-        self.chars += len(chunk)
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.fresh.append(word)
+        self.chars += len(word)
         return at
 
-    def number(self, text: bytes | None) -> np.ndarray:
-        chunks = (text or b"").split()
-        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-
-    def settle(self) -> None:
-        if self.fresh:
-            got = [e.ids for e in self.tok.encode_batch([c.decode("utf-8", "replace") for c in self.fresh], add_special_tokens=False)]
-            flat = np.fromiter((i for ids in got for i in ids), np.uint32)
-            self.ids = np.concatenate([self.ids, flat])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(i) for i in got])])
-            self.fresh = []
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def settle(self, step: int = 400) -> None:
+        ids, sizes = [self.ids], []
+        groups = [self.fresh[lo : lo + step] for lo in range(0, len(self.fresh), step)]
+        for group, own in zip(groups, self._encoded([" ".join(g) for g in groups])):
+            cut = np.flatnonzero(self.rule[2][own]) + 1
+            if len(cut) != len(group) or cut[-1] != len(own):  # not told apart: one by one
+                each = self._encoded(group)
+                own, cut = np.concatenate(each), np.cumsum([len(e) for e in each])
+            ids.append(own)
+            sizes.append(np.diff(cut, prepend=0))
+        if sizes:
+            self.ids = np.concatenate(ids)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        self.fresh = []
 
     def expand(self, numbers: np.ndarray) -> np.ndarray:
-        start, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
-        total = int(size.sum())
+        start = self.ends[numbers]
+        size = self.ends[numbers + 1] - start
         before = np.cumsum(size) - size
-        return self.ids[np.arange(total) + np.repeat(start - before, size)]
-
-    def relax(self) -> None:
+        return self.ids[np.arange(int(size.sum())) + np.repeat(start - before, size)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        rows, whole = [], []
+        for i, t in enumerate(texts):
+            if self.rule is None or "<|" in t or not (t.isascii() or not UNSTEADY.search(t)):
+                whole.append(i)
+                rows.append(None)
+            else:
+                low = t.lower()
+                words = self.rule[0 if low.isascii() or not BEYOND.search(low) else 1].findall(low)
+                rows.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        self.settle()
+        out = [None if r is None else self.expand(r) for r in rows]
+        for i, ids in zip(whole, self._encoded([texts[i] for i in whole])):
+            out[i] = ids
         if len(self) > CACHED_WORDS or self.chars > CACHED_CHARS:
             self.clear()
             self.chars, self.ids, self.ends = 0, self.ids[:0], self.ends[:1]
+        return out
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One cache for all tasks of a Python worker."""
+    return WordIds(path)
 
 
 def projection(size: int, dims: int = DIMS, hashed: int = HASHED) -> np.ndarray:
@@ -128,17 +194,14 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, key, n, ids): ids as 16- or 32-bit words, with the separator at the end."""
 
     def run(batches):
-        words, table, kind = WordIds(path), None, f"<u{id_bytes(path)}"
+        words, kind = word_ids(path), f"<u{id_bytes(path)}"
+        table = projection(max(words.tok.get_vocab_size(), SEPARATOR + 1))
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                rows = [words.number(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                words.settle()
-                if table is None:
-                    table = projection(max(words.tok.get_vocab_size(), SEPARATOR + 1))
-                ids, mid = [], np.empty((len(rows), DIMS))
-                for i, row in enumerate(rows):
-                    own = np.append(words.expand(row), np.uint32(SEPARATOR))
+            for lo in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(lo, ROWS_AT_ONCE)
+                ids, mid = [], np.empty((part.num_rows, DIMS))
+                for i, own in enumerate(words.encode([t or "" for t in part.column("text").to_pylist()])):
+                    own = np.append(own, np.uint32(SEPARATOR))
                     mid[i] = table[own].mean(axis=0)
                     ids.append(own.astype(kind).tobytes())
                 unit = 0.5 + 0.5 * np.tanh(SPREAD * mid)
@@ -147,7 +210,6 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                     [part.column("doc_id"), pa.array(keys), pa.array([len(i) // id_bytes(path) for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "key", "n", "ids"],
                 )
-                words.relax()
 
     return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("key", "long").add("n", "long").add("ids", "binary"))
 

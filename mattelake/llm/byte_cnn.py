@@ -157,4 +157,4 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     marked = spread(docs.select("doc_id", "text")).withColumn("held_out", F.coalesce(id_bucket("doc_id", 3) == 1, F.lit(False)))
-    return marked.mapInArrow(run, marked.drop("text").schema.add("score", "double").add("predicted", "int"))
+    return marked.mapInArrow(run, marked.drop("text").schema.add("score", "double").add("predicted", "integer"))

@@ -202,4 +202,4 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     marked = spread(docs.select("doc_id", "text")).withColumn("held_out", F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False)))
-    return marked.mapInArrow(run, marked.drop("text").schema.add("score", "double").add("predicted", "int"))
+    return marked.mapInArrow(run, marked.drop("text").schema.add("score", "double").add("predicted", "integer"))

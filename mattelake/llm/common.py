@@ -45,6 +45,16 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under names that no operator uses for its own columns, and the new name of each old one."""
+    new = {name: f"c{i}_" for i, name in enumerate(df.columns)}
+    return df.toDF(*new.values()), new
+
+
+def restored(new: dict[str, str]) -> list[Column]:
+    return [F.col(n).alias(name) for name, n in new.items()]
+
+
 def id_bucket(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mattelake.llm.common import materialise, spread
+from mattelake.llm.common import materialise, renamed, restored, spread
 from mattelake.llm.components import connected_components, local_stars
 
 RADIUS = 2
@@ -201,8 +201,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Of rows that repeat this id the one with the least text hash stays. Documents without an id cannot
     be named, so all of them stay.
     """
-    found = near_duplicates(docs, radius=radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(found, docs.doc_id == F.col("_kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = named.withColumn("_nth", first).where("_nth = 1").drop("_nth")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = near_duplicates(docs, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
+    safe, new = renamed(docs)
+    own, text = new["doc_id"], new["text"]
+    named = safe.join(found, F.col(own) == F.col("doc_id"), "left_semi")
+    first = F.row_number().over(Window.partitionBy(own).orderBy(F.xxhash64(text)))
+    named = named.withColumn("nth", first).where("nth = 1").drop("nth")
+    return named.unionByName(safe.where(F.col(own).isNull())).select(*restored(new))

@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mattelake.llm.common import id_bucket, spread
+from mattelake.llm.common import id_bucket, renamed, restored, spread
 
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -229,15 +229,15 @@ class _Scorer(dict):
             self.table, self.chars = self.table[:0], 0
 
 
-def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, lang_pred and score (the posterior of that language under equal priors).
+def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, path: str | None = None, column: str = "text") -> DataFrame:
+    """docs with lang_pred and score (the posterior of that language under equal priors).
 
     A text that is null or has no letter, and any text where no language was learned, is ``und`` with
-    score 0. Ties go to the first language in code-point order.
+    score 0. Ties go to the first language in code-point order. Other columns pass through.
     """
     path = path or default_vocabulary()
-    wanted = docs.select(*keep, F.col("text").alias("_text"))
-    schema = wanted.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    names = docs.columns
+    schema = docs.select("*").schema.add("lang_pred", "string").add("score", "double")
     probs = probs.astype(np.float32).astype(np.float64)
 
     def run(batches):
@@ -246,36 +246,37 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, path: str | No
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 rows = []
-                for text in part.column("_text").to_pylist():
+                for text in part.column(column).to_pylist():
                     tokens = text.split() if text and langs else []
                     rows.append(np.fromiter(map(scorer.__getitem__, tokens), np.int64, len(tokens)))
                 scorer.settle()
-                names, scores = [], []
+                found, scores = [], []
                 for ids in rows:
                     total = scorer.table[ids].sum(axis=0)
                     if not total[-1]:
-                        names.append(UNDETERMINED)
+                        found.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
                     total = total[:-1]
                     odds = np.exp(total - total.max())
-                    names.append(langs[int(total.argmax())])
+                    found.append(langs[int(total.argmax())])
                     scores.append(float(odds.max() / odds.sum()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
                 scorer.relax()
 
-    return wanted.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score. A null doc_id is in no fold: held_out is false."""
     langs, probs = learn(docs, path)
     marked = spread(docs.select("doc_id", "text")).withColumn("held_out", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)))
-    return predict(marked, langs, probs, path, ("doc_id", "held_out"))
+    return predict(marked, langs, probs, path).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, path: str | None = None, least: float = 0.5) -> DataFrame:
     """docs without those that are ``und`` or whose language has a posterior under ``least``."""
     langs, probs = learn(docs, path)
-    names = docs.columns
-    return predict(docs.withColumn("text", F.col("text")), langs, probs, path, tuple(names)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*names)
+    safe, new = renamed(docs)
+    rated = predict(spread(safe), langs, probs, path, new["text"])
+    return rated.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*restored(new))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mattelake.llm.common import materialise
+from mattelake.llm.common import materialise, renamed, restored
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 5
@@ -42,24 +42,29 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str =
     All rows stay, a document of nothing but boilerplate with an empty text. Blank lines and the order
     of lines stay. A null text stays null with no lines; an empty text is one blank line. Rows that
     repeat id and text are treated alike; a null id is larger than every other, and lines that only
-    rows without an id have stay. Other columns pass through.
+    rows without an id have stay. Other columns pass through, but n_lines and n_removed are replaced.
     """
     lines = materialise(occurrences(docs, text, site, doc_id))
     found = boilerplate(lines, min_sites)
     hits = lines.join(found, "h").where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    gone = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("pos").alias("_gone"))
-    whole = docs.withColumn("_key", F.xxhash64(text))
-    joined = whole.join(gone, whole[doc_id].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
-    split = joined.withColumn("_lines", F.split(text, "\n")).withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
-    cut = split.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest))
-    return cut.select(*docs.columns, "n_lines", "n_removed")
+    gone = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("gone"))
+    safe, new = renamed(docs.drop("n_lines", "n_removed"))
+    body = new[text]
+    whole = safe.withColumn("key", F.xxhash64(body))
+    joined = whole.join(gone, whole[new[doc_id]].eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_hash")), "left")
+    split = joined.withColumn("lines", F.split(body, "\n")).withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    rest = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
+    cut = split.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn(body, F.when(F.col("gone").isNull(), F.col(body)).otherwise(rest))
+    return cut.select(*restored(new), "n_lines", "n_removed")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """The pipeline stage: the columns of docs, with n_chars (where it is) of the text that stays."""
-    out = remove_boilerplate(docs).select(*docs.columns)
+    safe, new = renamed(docs)
+    needed = {"text", "source", "doc_id"} & new.keys()
+    named = safe.withColumnsRenamed({new[c]: c for c in needed})
+    out = remove_boilerplate(named).select(*[F.col(c if c in needed else n).alias(c) for c, n in new.items()])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

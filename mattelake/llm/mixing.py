@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mattelake.llm.common import materialise
+from mattelake.llm.common import materialise, renamed, restored
 
 #: Fixed substrings that tell the usual languages of a crawl apart.
 FEATURES = (" the ", " of ", "th", "wh", "ing", " de ", " la ", "eau", " le ", " der ", " und ", "sch", "ung", " el ", " los ", "ci", "é", "è", "ü", "ñ")
@@ -34,13 +34,13 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def counted(docs: DataFrame, label: str, features: tuple[str, ...] = FEATURES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, label, n_tokens and counts (array<double>) of the whole text; null is an empty text."""
+def counted(docs: DataFrame, label: str, features: tuple[str, ...] = FEATURES) -> DataFrame:
+    """doc_id, label, draw (a hash of id and text), n_tokens and counts (array<double>) of the whole text; null is an empty text."""
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    base = docs.select(*keep, F.col(label).alias("label"), text.alias("_t"), F.xxhash64("doc_id", "text").alias("_draw"))
-    size = F.octet_length("_t")
-    hits = [((size - F.octet_length(F.replace("_t", F.lit(f), F.lit("")))) / F.lit(len(f.encode()))).cast("double") for f in features]
-    return base.select(*keep, "label", "_draw", F.ceil(size / F.lit(BYTES_PER_TOKEN)).cast("double").alias("n_tokens"), F.array(*hits).alias("counts"))
+    base = docs.select("doc_id", F.col(label).cast("string").alias("label"), text.alias("t"), F.xxhash64("doc_id", "text").alias("draw"))
+    size = F.octet_length("t")
+    hits = [((size - F.octet_length(F.replace("t", F.lit(f), F.lit("")))) / F.lit(len(f.encode()))).cast("double") for f in features]
+    return base.select("doc_id", "label", "draw", F.ceil(size / F.lit(BYTES_PER_TOKEN)).cast("double").alias("n_tokens"), F.array(*hits).alias("counts"))
 
 
 def learn(rows: DataFrame, n_features: int) -> tuple[list[str], list[float], list[list[float]]]:
@@ -104,30 +104,36 @@ def fit_rates(rows: DataFrame, names: list[str], targets: dict[str, float] | Non
     return _rate(steps, least), natural, aim
 
 
-def mix(docs: DataFrame, label: str = "lang", targets: dict[str, float] | None = None, least: float = 0.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and domain, posterior, n_tokens, rate (6 decimals), copies.
+def mix(docs: DataFrame, label: str = "lang", targets: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
+    """One row per document: doc_id, domain, posterior, n_tokens, rate (6 decimals), copies.
 
     copies is the whole part of the rate, and one more with the probability of the rest, drawn by a hash
     of id and text. A null or empty text has no tokens and the priors as posterior. Ties between domains
     go to the first in order. Without any labelled row there is no domain: domain is null, the rate 1.
     Repeated rows are treated alike; other columns are ignored.
     """
-    rows = materialise(counted(docs, label, keep=keep))
+    return rated(docs, label, targets, least).drop("draw")
+
+
+def rated(docs: DataFrame, label: str, targets: dict[str, float] | None, least: float) -> DataFrame:
+    """``mix`` with ``draw``, the hash by which a row can be found again."""
+    rows = materialise(counted(docs, label))
     names, priors, shares = learn(rows, len(FEATURES))
     if not names:
         empty = F.array().cast("array<double>")
-        return rows.select(*keep, F.lit(None).cast("string").alias("domain"), empty.alias("posterior"), F.col("n_tokens").cast("long").alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return rows.select("doc_id", "draw", F.lit(None).cast("string").alias("domain"), empty.alias("posterior"), F.col("n_tokens").cast("long").alias("n_tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     soft = materialise(posteriors(rows, priors, shares))
     rate, _, _ = fit_rates(soft, names, targets, least)
-    best = F.get(F.array(*[F.lit(str(n)) for n in names]), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
-    draw = F.pmod("_draw", F.lit(1_000_003)) / F.lit(1_000_003.0)
-    rated = soft.withColumn("rate", F.round(rate, 6))
-    copies = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return rated.select(*keep, best.alias("domain"), F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"), F.col("n_tokens").cast("long").alias("n_tokens"), "rate", copies.alias("copies"))
+    best = F.get(F.array(*[F.lit(n) for n in names]), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
+    share = F.pmod("draw", F.lit(1_000_003)) / F.lit(1_000_003.0)
+    done = soft.withColumn("rate", F.round(rate, 6))
+    copies = (F.floor("rate") + F.when(share < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    return done.select("doc_id", "draw", best.alias("domain"), F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"), F.col("n_tokens").cast("long").alias("n_tokens"), "rate", copies.alias("copies"))
 
 
 def resample(docs: DataFrame, label: str = "lang", targets: dict[str, float] | None = None) -> DataFrame:
     """The pipeline stage: each row of docs as often as its copies say, at least once, so no document goes."""
-    names = docs.columns
-    out = mix(docs, label, targets, least=1.0, keep=tuple(names))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).select(*names)
+    more = rated(docs, label, targets, least=1.0).groupBy("draw").agg(F.max("copies").alias("copies")).where("copies > 1")
+    safe, new = renamed(docs)
+    joined = safe.withColumn("draw", F.xxhash64(new["doc_id"], new["text"])).join(more, "draw", "left")
+    return joined.withColumn("nth", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1))))).select(*restored(new))

@@ -1,0 +1,391 @@
+"""Operators over documents: odd rows, and results against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from mattelake.llm import byte_cnn, gray_simhash, hilbert_pack, langid, line_dedup, media, mixing, pii, toxicity, webp
+from mattelake.llm.common import id_bucket
+
+EN = "the quick brown fox of the north was running over this old hill and then the other one"
+DE = "der schnelle fuchs und die alte katze sind nicht durch den wald gelaufen und schliefen"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `key` string, lines int, score double, draw string, h long, label string"
+
+
+def row(i, text, lang="en", source="a"):
+    return (i, text, lang, source, None if text is None else len(text), "k", 1, 0.5, "d", 3, "x")
+
+
+ODD = [
+    row(1, EN), row(2, EN), row(3, DE, "de", "b"), row(3, DE, "de", "b"), row(4, None), row(5, ""), row(6, " \t\n "), row(None, EN), row(None, None, None, None),
+    row(7, "12345 !!! 67"), row(8, (EN + " ") * 4000, None), row(9, "x" * 50_000), row(10, "日本語 <|endoftext|> don't ΑΣ"), row(11, EN + "\n" + DE, "de", "c"), row(12, DE, "de", None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.where("false")
+
+
+def pairs(df, value):
+    return sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r[value]) for r in df.collect())
+
+
+# ------------------------------------------------------------------ language
+
+
+def test_language_of_odd_rows(odd, none):
+    got = langid.identify(odd).collect()
+    assert len(got) == len(ODD)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+        assert 0 <= r["score"] <= 1 and isinstance(r["held_out"], bool)
+    for i in (4, 5, 6, 7):
+        assert by[i][0]["lang_pred"] == "und" and by[i][0]["score"] == 0
+    assert len({(r["lang_pred"], r["score"]) for r in by[3]}) == 1
+    assert langid.identify(none).count() == 0
+
+
+def test_forward_sum_against_all_segmentations():
+    rng = np.random.default_rng(2)
+    vocab = {p: i for i, p in enumerate(["▁", "a", "b", "ab", "ba", "▁a", "aba", "bb"])}
+    probs = rng.random((len(vocab), 2))
+    probs /= probs.sum(axis=0)
+
+    def brute(word, j):
+        if not word:
+            return 1.0
+        total = 0.0
+        for e in range(1, len(word) + 1):
+            p = vocab.get(word[:e])
+            if p is not None:
+                total += probs[p, j] * brute(word[e:], j)
+            elif e == 1:
+                total += langid.UNKNOWN * brute(word[1:], j)
+        return total
+
+    words = ["a", "ab", "abba", "zab", "bbb", "abababa", "ba" * 9]
+    got = langid.word_scores(words, langid.Pieces(vocab), probs)
+    for i, w in enumerate(words):
+        for j in range(2):
+            assert got[i, j] == pytest.approx(np.log(brute("▁" + w, j)))
+    long = langid.word_scores(["ab" * 400], langid.Pieces(vocab), probs)
+    assert np.isfinite(long).all() and (long > -1e5).all()
+
+
+def test_language_accuracy_held_out(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got) > 0
+
+
+def test_language_stage_keeps_columns_and_clean_rows(odd, none):
+    out = langid.keep_identified(odd)
+    assert out.columns == odd.columns
+    ids = {r["doc_id"] for r in out.select("doc_id").collect()}
+    assert {1, 2, 3, 8, 11, 12} <= ids and not ids & {4, 5, 6, 7}
+    assert langid.keep_identified(none).count() == 0
+
+
+# ------------------------------------------------------------------ lines
+
+
+def test_lines_of_odd_rows_and_columns(odd, none):
+    out = line_dedup.clean_documents(odd)
+    assert out.columns == odd.columns and out.count() == len(ODD)
+    assert line_dedup.remove_boilerplate(none).count() == 0
+    got = line_dedup.remove_boilerplate(odd, min_sites=2)
+    assert got.columns == [*odd.columns, "n_lines", "n_removed"]
+    by = {r["doc_id"]: r for r in got.collect()}
+    # DE is on sites b and c, EN on a and c; the smallest id keeps a line, a null site counts as none.
+    assert by[3]["text"] == DE and by[11]["text"] == "" and by[11]["n_removed"] == 2 and by[12]["text"] == "" and by[12]["n_removed"] == 1
+    assert by[4]["text"] is None and by[4]["n_lines"] == 0 and by[5]["text"] == "" and by[6]["text"] == " \t\n "
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [(i, "\n".join(rng.choice(["", "  ", *"abcdefghij"]) for _ in range(rng.randint(0, 9))), f"s{rng.randint(0, 7)}") for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(docs).collect()}
+    sites, first = {}, {}
+    for i, t, s in texts:
+        for line in t.split("\n"):
+            sites.setdefault(line, set()).add(s)
+            first.setdefault(line, i)
+    for i, t, _ in texts:
+        assert got[i] == "\n".join(x for x in t.split("\n") if not x.strip(" \t\r") or len(sites[x]) < 5 or first[x] == i)
+
+
+def test_lines_equal_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = {r[0]: tuple(r[1:]) for r in con.execute(f"SELECT doc_id, text, n_lines, n_removed FROM ({line_dedup.ORACLE})").fetchall()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.remove_boilerplate(docs).collect()}
+    assert got == want and any(v[2] for v in want.values())
+
+
+# ------------------------------------------------------------------ personal data
+
+PLAIN = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def plain_spans(text):
+    out = []
+    for k, (name, pattern) in enumerate(PLAIN):
+        for m in re.finditer(pattern, text or ""):
+            digits = [int(c) for c in m.group() if c.isdigit()]
+            luhn = sum(d * (1 + i % 2) - 9 * (d * (1 + i % 2) > 9) for i, d in enumerate(digits[::-1])) % 10 == 0
+            if name == "email" or name == "ip" and max(map(int, m.group().split("."))) <= 255 or name == "card" and 12 <= len(digits) <= 19 and luhn or name == "phone" and 9 <= len(digits) <= 15:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_pii_against_plain_expressions(spark, odd, none):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab.@+-_% 0123456789()é😀") for _ in range(rng.randint(0, 160))) for _ in range(400)]
+    texts += ["".join(rng.choice("0123456789 -.+") for _ in range(rng.randint(0, 90))) for _ in range(300)]
+    texts += ["a@b.c_d@e.f", "5" * 6000, "a" * 20000 + "@", "4111 1111 1111 1111, +1 (555) 010-9999, 10.0.0.256", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in pii.report(docs).collect()}
+    for i, t in enumerate(texts):
+        want = plain_spans(t) if not (t or "").startswith("aaaa") else []
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{PLAIN[k][0]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+        assert [got[i][f"n_{n}"] for n, _ in PLAIN] == [sum(k == j for _, k, _ in want) for j in range(4)]
+    assert pii.report(odd).count() == len(ODD) and pii.report(none).count() == 0
+
+
+def test_iban_context_and_redaction(spark):
+    texts = ["iban GB82 WEST 1234 5698 7654 32.", "iban GB83 WEST 1234 5698 7654 32.", "ssn 123-45-6789 here", "part 123-45-6789 here", "call +1 555 010 9999 now", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    assert got == {0: "iban:5:32", 1: "", 2: "ssn:4:15", 3: "", 4: "phone:5:20", 5: ""}
+    assert {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()} == {0: "iban [IBAN].", 1: texts[1], 2: "ssn [SSN] here", 3: texts[3], 4: "call [PHONE] now", 5: None}
+
+
+# ------------------------------------------------------------------ media
+
+
+def test_media_round_trip(odd, none):
+    got = {(r["doc_id"], r["n_bytes"]): r for r in media.text_media(odd).collect()}
+    for r in ODD:
+        raw = (r[1] or "").encode()
+        own, full = got[r[0], len(raw)], media.padded(raw)
+        assert own["payload_bytes"] == len(full) and own["payload_sha256"] == hashlib.sha256(full).hexdigest() and own["tail_crc32"] == zlib.crc32(full[-64:])
+    assert media.text_media(none).count() == 0
+
+
+def test_bad_media_do_not_stop_a_job(spark):
+    good = webp.encode(np.arange(12, dtype=np.uint32).reshape(3, 4))
+    rows = spark.createDataFrame([(1, good, "a"), (2, good[:30], "b"), (3, None, "c"), (4, b"RIFFxxxx", "d")], "width int, media binary, error string")
+    got = {r["media"] and bytes(r["media"]): r for r in media.decode_column(rows).collect()}
+    assert got[good]["width"] == 4 and np.frombuffer(got[good]["pixels"], "<u4").tolist() == list(range(12))
+    assert all(r["pixels"] is None and r["error"] for m, r in got.items() if m != good)
+
+
+# ------------------------------------------------------------------ SimHash
+
+
+def test_fingerprint_by_hand():
+    text = "A b\tC  d e"
+    words = ["a", "b", "c", "d e"]
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(2)]
+    assert gray_simhash.fingerprint(text) == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > 2)
+    assert gray_simhash.fingerprint("One Two") == xxhash.xxh64_intdigest("one two", 42) and gray_simhash.fingerprint(None) == gray_simhash.fingerprint(" \n") == 0
+
+
+def test_gray_index_is_exact():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    words = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(4)]))
+    rank = gray_simhash.gray_rank(words)
+    assert (gray_simhash.gray_code(rank) == words).all()
+    words = words[np.argsort(rank)]
+    for radius in (0, 1, 2, 5):
+        found = {(int(a), int(b)) for q, leaf in gray_simhash.GrayIndex(words).search(words, radius, block=17) for a, b in zip(q, leaf)}
+        apart = np.bitwise_count(words[:, None] ^ words[None])
+        assert found == {(int(a), int(b)) for a, b in zip(*np.nonzero(apart <= radius))}
+
+
+def brute_components(fps, ids):
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [min(ids[j] for j in range(len(fps)) if find(j) == find(i)) for i in range(len(fps))]
+
+
+def test_simhash_components_against_brute_force(spark, odd, none):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([2, 5, 40]))) for _ in range(60)]
+    texts += [t + f" tail{k}" for k, t in enumerate(texts[:30])] + texts[:20] + ["", " "]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in gray_simhash.near_duplicates(docs).collect()}
+    fps = [gray_simhash.fingerprint(texts[k]) for k in order]
+    want = brute_components(fps, list(range(len(order))))
+    assert [got[i]["component_id"] for i in range(len(order))] == want
+    assert [got[i]["fingerprint"] for i in range(len(order))] == [f"{f:016x}" for f in fps]
+    assert gray_simhash.near_duplicates(odd).count() == len(ODD) and gray_simhash.near_duplicates(none).count() == 0
+
+
+def test_links_do_not_depend_on_groups(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    words = np.unique(np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(1 << 62)]))
+    df = spark.createDataFrame([(int(w),) for w in words.view(np.int64)], "fp long")
+    links = gray_simhash.fingerprint_links(df, group_size=40, least_groups=3).collect()
+    parts = {}
+    for r in links:
+        parts.setdefault(r["v"], set()).add(r["u"])
+    assert len({r["u"] for r in links}) >= 500
+
+
+def test_near_duplicate_stage(odd, none):
+    out = gray_simhash.keep_one(odd)
+    assert out.columns == odd.columns
+    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.select("doc_id").collect())
+    kept = [i for blank, i in ids if not blank]
+    assert kept.count(1) == 1 and 2 not in kept and kept.count(3) == 1 and 12 not in kept and sum(blank for blank, _ in ids) == 2
+    assert sum(i in kept for i in (4, 5, 6)) == 1
+    assert gray_simhash.keep_one(none).count() == 0
+
+
+# ------------------------------------------------------------------ mixing
+
+
+def test_rates_meet_targets_and_match_numpy(spark):
+    rng = random.Random(3)
+    texts = [("en", EN)] * 60 + [("de", DE)] * 25 + [("fr", "le chat de la maison est sur le toit avec une étoile et les oiseaux")] * 15
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(t.split(), 12)) + " ", lang, "s") for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    targets = {"en": 0.2, "de": 0.5, "fr": 0.3}
+    got = mixing.mix(docs, targets=targets).collect()
+    names = sorted(targets)
+    p = np.array([r["posterior"] for r in got])
+    t, rate = np.array([r["n_tokens"] for r in got], float), np.array([r["rate"] for r in got])
+    totals = (t * rate) @ p
+    assert totals / totals.sum() == pytest.approx([targets[n] for n in names], abs=0.01) and totals.sum() == pytest.approx(t.sum(), rel=0.01) and (rate >= 0).all()
+    # The same projected gradients in numpy.
+    r, natural = np.ones(len(t)), t @ p
+    aim = t.sum() * np.array([targets[n] for n in names])
+    for _ in range(mixing.ROUNDS):
+        now = (t * r) @ p
+        if (np.abs(now - aim) <= mixing.TOLERANCE * t.sum()).all():
+            break
+        r = np.maximum(0, r - p @ ((now - aim) / natural))
+    assert rate == pytest.approx(r, abs=1e-3)
+    for x in got:
+        assert x["copies"] in (int(x["rate"]), int(x["rate"]) + 1)
+
+
+def test_mixing_odd_rows(spark, odd, none):
+    assert mixing.mix(odd).count() == len(ODD)
+    assert mixing.mix(none).count() == 0 and mixing.resample(none).count() == 0
+    blank = mixing.mix(spark.createDataFrame([(1, "a", None, None)], "doc_id long, text string, lang string, source string")).first()
+    assert blank["domain"] is None and blank["rate"] == 1
+    out = mixing.resample(odd)
+    assert out.columns == odd.columns and out.count() >= len(ODD)
+    assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r[0] for r in ODD}
+
+
+# ------------------------------------------------------------------ packing
+
+
+def test_packing_against_the_tokenizer(odd, none):
+    tok = hilbert_pack.tokenizer(hilbert_pack.default_tokenizer())
+    want = sorted(tok.encode(r[1] or "", add_special_tokens=False).ids + [1] for r in ODD)
+    got = hilbert_pack.pack(odd).collect()
+    slots = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    at = 0
+    for seq, off, n in slots:
+        assert (seq, off) == divmod(at, 2048) and off + n <= 2048
+        at += n
+    assert at == sum(map(len, want))
+    by_id = {r[0]: np.array(tok.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4") for r in ODD if r[0] is not None}
+    for r in got:
+        if r["doc_id"] is not None:
+            ids = by_id[r["doc_id"]]
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+    assert hilbert_pack.pack(none).count() == 0
+
+
+def test_word_ids_are_the_tokenizers():
+    rng = random.Random(1)
+    alphabet = "abcÉÀßöñ's'tllABCİıſKΣσ日本한—’й \t\n  \x1c\x85.,!<|endoftext|>012²½ªº😀é"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["it's DON'T we'll <|endoftext|> x", ""]
+    path = hilbert_pack.default_tokenizer()
+    got = hilbert_pack.WordIds(path).encode(texts)
+    assert [g.tolist() for g in got] == [hilbert_pack.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_hilbert_curve_steps_to_neighbours():
+    for dims, bits in ((2, 4), (3, 3), (4, 2)):
+        grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)
+        key = hilbert_pack.hilbert_key(grid, bits)
+        assert sorted(key.tolist()) == list(range(len(grid)))
+        assert (np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
+
+
+# ------------------------------------------------------------------ classifiers
+
+
+def test_fold_and_exceptions():
+    assert toxicity.fold("Ünï ѕtup1d$$$ $tupid tr@sh ＭＯＲＯＮ a1 100") == " uni stupid stupid trash moron a1 100 "
+    auto = toxicity.automaton({" trash ": 2.0, " mor": 1.0})
+    assert toxicity.weigh("the trash can is full", auto) == (0.0, 5)
+    assert toxicity.weigh("TR4SH and trash can, m0rons", auto)[0] == 3.0
+    assert toxicity.weigh(None, auto)[0] == 0.0
+
+
+@pytest.mark.parametrize(("module", "column", "modulo", "fold"), [(toxicity, "toxic", 5, 0), (byte_cnn, "quality", 3, 1)])
+def test_classifiers(spark, odd, none, module, column, modulo, fold):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = module.rate(docs, labels).join(labels, "doc_id").withColumn("expected", id_bucket("doc_id", modulo) == fold).collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == r["expected"] and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got)
+    assert np.mean([r["predicted"] == r[column] for r in held]) >= 0.9
+    assert module.rate(odd, labels.where("false")).count() == len(ODD)
+    assert module.rate(none, labels).count() == 0
+
+
+def test_chunks_cover_the_text():
+    for n in (0, 1, 511, 512, 513, 992, 993, 5000):
+        c = byte_cnn.chunks((bytes(range(1, 251)) * 21)[:n])
+        step = byte_cnn.CHUNK - byte_cnn.OVERLAP
+        rebuilt = b"".join(x[:step].tobytes() for x in c[:-1]) + c[-1].tobytes()
+        assert rebuilt[:n] == (bytes(range(1, 251)) * 21)[:n] and not any(rebuilt[n:])
+
+
+def test_pipeline_runs_over_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame(ODD, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.where(F.col("doc_id") == 1).count() >= 1 and out.where(F.col("doc_id") == 2).count() == 0
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

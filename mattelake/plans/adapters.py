@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +98,25 @@ PATHS_SQL = """
 pt AS (SELECT doc_id, 'Dir' || (doc_id % 7) || '/file' || (doc_id // 2) ||
   ['.jpg', '.JPEG', '.png', '.webp', '.txt', '.tar.GZ'][CAST(doc_id % 6 AS INTEGER) + 1] AS path FROM documents)
 """
+
+
+def ellipse(key: int, side: int = 192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rgb, cutout, mask) of an ellipse whose edge is as wide, and as tainted by the background, as its key says."""
+    y, x = np.indices((side, side))
+    away = np.hypot((x - side / 2) / (side * 0.28), (y - side * 0.526) / (side * 0.375))
+    alpha = np.clip(0.5 + (1 - away) * 60 / (2 + key % 9 * 2), 0, 1)
+    subject, back = np.array([184.0, 154, 116]), np.array([24.0, 76, 224])
+    mixed = lambda share: np.rint(subject * share[..., None] + back * (1 - share[..., None])).astype(np.uint8)
+    return mixed(alpha >= 0.5), mixed(1 - key % 2 * (1 - alpha) ** 0.45), np.rint(alpha * 255).astype(np.uint8)
+
+
+def ellipses(keys: DataFrame, key: str) -> DataFrame:
+    """An ``ellipse`` for every key: key, height, width, rgb, cutout, mask."""
+
+    def run(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                planes = ellipse(k)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([planes[0].shape[i]], pa.int32()) for i in (0, 1)), *(pa.array([p.tobytes()], pa.binary()) for p in planes)], names=[key, "height", "width", "rgb", "cutout", "mask"])
+
+    return keys.select(F.col(key).cast("long")).mapInArrow(run, f"{key} long, height int, width int, rgb binary, cutout binary, mask binary")

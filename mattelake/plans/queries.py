@@ -462,33 +462,8 @@ SELECT image_id, count(*) AS edge_pixels, round(avg(abs(after - c)), 6) AS mean_
 
 
 def j07_edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edge scores of an analytic cut-out for every region and nation.
-
-    Each is a 192 x 192 ellipse whose edge is as wide, and as tainted by the background, as its key says.
-    """
-    n = A.table(spark, sf_dir, "nation").select("n_nationkey")
-    side = F.lit(192)
-    at = F.sequence(F.lit(0), side * side - 1)
-    wide = F.lit(2.0) + F.col("n_nationkey") % 9 * 2
-
-    def alpha(i):
-        dx, dy = (i % 192 - 96) / F.lit(54.0), (F.floor(i / 192) - 101) / F.lit(72.0)
-        return S.clip(0.5 + (1 - F.sqrt(dx * dx + dy * dy)) * 60 / wide)
-
-    taint = (F.col("n_nationkey") % 2).cast("double")
-    byte = lambda v: F.unhex(F.lpad(F.hex(F.rint(v).cast("int")), 2, "0"))
-    packed = lambda items: F.unhex(F.array_join(items, ""))
-    two = lambda v: F.lpad(F.hex(F.rint(v).cast("long")), 2, "0")
-    subject, back = (184.0, 154.0, 116.0), (24.0, 76.0, 224.0)
-
-    def mixed(i, share):
-        return F.concat(*[two(F.lit(s) * share + F.lit(b) * (1 - share)) for s, b in zip(subject, back)])
-
-    images = n.select(
-        "n_nationkey", side.alias("height"), side.alias("width"), packed(F.transform(at, lambda i: two(alpha(i) * 255))).alias("mask"),
-        packed(F.transform(at, lambda i: mixed(i, F.when(alpha(i) >= 0.5, 1.0).otherwise(0.0)))).alias("rgb"),
-        packed(F.transform(at, lambda i: mixed(i, 1 - taint * F.pow(1 - alpha(i), F.lit(0.45))))).alias("cutout"),
-    )
+    """Edge scores of an analytic cut-out for every nation."""
+    images = A.ellipses(A.table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
     out = edges.artifact_scores(images)
     return out.select("n_nationkey", "edge_pixels", "score_error", *[F.round(F.col(c), 4).alias(c) for c in ("residual", "chromatic", "neutral", "loose", "compact", "hair", "instability", "semantic", "agreement", "total")])
 

@@ -119,6 +119,52 @@ def score(rgb: np.ndarray, cutout: np.ndarray, alpha: np.ndarray, rules: EdgeRul
     return {k: v if k == "edge_pixels" else float(v) for k, v in out.items()}
 
 
+DIAGNOSTICS = ("raw_share", "tint_share", "seen_p99", "width_p90", "joint_share", "joint_of_tint", "smooth_joint_of_tint")
+
+
+def diagnostics(rgb: np.ndarray, cutout: np.ndarray, alpha: np.ndarray, radius: int = 16, wide: float = 12.0) -> dict:
+    """Offline ratios of one image: background pull by colour and by tint alone, widths, and where both meet."""
+    rays = Rays(alpha, radius)
+    keep = rays.valid & (alpha[rays.y, rays.x] >= 0.08) & (alpha[rays.y, rays.x] <= 0.88)
+    if not keep.any():
+        return dict.fromkeys(DIAGNOSTICS, 0.0)
+    at = lambda img, p: img[p[0][keep], p[1][keep]]
+    own, inner, outer = at(cutout, (rays.y, rays.x)), at(cutout, rays.inner), at(rgb, rays.outer)
+    a, width, tex = at(alpha, (rays.y, rays.x)), rays.width[keep], at(texture(rgb), (rays.y, rays.x))
+    top = outer.max(axis=1)
+    vivid = np.where(top > 0, (top - outer.min(axis=1)) / np.maximum(top, 1e-12), 0) > 0.18
+
+    def pulled(moved, towards):
+        along, reach = _dot(moved, towards), np.linalg.norm(towards, axis=1)
+        seen = np.maximum(0, along / np.maximum(reach, 1e-5)) * a
+        same = along / np.maximum(np.linalg.norm(moved, axis=1) * reach, 1e-5)
+        return seen, vivid & (same > 0.45) & (seen > 0.012)
+
+    moved, towards = own - inner, outer - inner
+    seen, raw = pulled(moved, towards)
+    _, tint = pulled(moved - moved.mean(axis=1, keepdims=True), towards - towards.mean(axis=1, keepdims=True))
+    joint = tint & (width >= wide)
+    n, n_tint = len(a), max(1, int(tint.sum()))
+    values = (raw.sum() / n, tint.sum() / n, np.percentile(seen, 99), np.percentile(width, 90), joint.sum() / n, joint.sum() / n_tint, (joint & (tex < 0.045)).sum() / n_tint)
+    return dict(zip(DIAGNOSTICS, map(float, values)))
+
+
+def artifact_diagnostics(images: DataFrame, radius: int = 16) -> DataFrame:
+    """images (height, width, rgb, cutout, mask) with ``DIAGNOSTICS`` beside their other columns."""
+    names = [c for c in images.columns if c not in ("rgb", "cutout", "mask")]
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1)
+                h, w = row.column("height")[0].as_py(), row.column("width")[0].as_py()
+                planes = [np.frombuffer(row.column(c)[0].as_py(), np.uint8).reshape(h, w, -1) / 255 for c in ("rgb", "cutout", "mask")]
+                got = diagnostics(planes[0], planes[1], planes[2][..., 0], radius)
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names), *(pa.array([got[d]], pa.float64()) for d in DIAGNOSTICS)], names=[*names, *DIAGNOSTICS])
+
+    return images.mapInArrow(run, extend(images.select(*names).schema, ", ".join(f"{d} double" for d in DIAGNOSTICS)))
+
+
 def artifact_scores(images: DataFrame, rules: EdgeRules = EdgeRules()) -> DataFrame:
     """images (height, width, rgb, cutout as 3 bytes a pixel, mask as 1) with SCORES and edge_pixels.
 

@@ -468,12 +468,18 @@ def j07_edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_nationkey", "edge_pixels", "score_error", *[F.round(F.col(c), 4).alias(c) for c in ("residual", "chromatic", "neutral", "loose", "compact", "hair", "instability", "semantic", "agreement", "total")])
 
 
+def a23_edge_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offline ratios of the analytic cut-outs."""
+    out = edges.artifact_diagnostics(A.ellipses(A.table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey"))
+    return out.select("n_nationkey", *[F.round(F.col(c), 4).alias(c) for c in edges.DIAGNOSTICS])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         d01_qc_status, s01_discover, a01_mask_measures, a02_components, a04_holes, j10_mask_similarity, i07_composites, w07_gradients, w08_texture, j05_box_coverage, j09_mask_recall,
         d03_prompts, d04_triggers, d08_severity, d09_escalation, j01_resume, j02_reusable, j04_offline_validation, w02_last_rows, w01_running_mean, a18_status_counts, a19_summary,
-        o02_sample, o03_history, k05_routes, p09_fingerprint, p03_scalars, a22_corrections, j07_edge_scores,
+        o02_sample, o03_history, k05_routes, p09_fingerprint, p03_scalars, a22_corrections, j07_edge_scores, a23_edge_diagnostics,
     )
 }
 

@@ -196,3 +196,16 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, vec_id: str = "vec
     linked = able.join(named, ["label", "vec"]).select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = rows.where(~F.coalesce(_usable("vec", "label"), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {COSINE}
+), r(vec_id, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, p.w FROM r JOIN p ON p.u = r.seen),
+c AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT u, count(*) AS n_links FROM p GROUP BY u)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON n.u = c.vec_id
+"""

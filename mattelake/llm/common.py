@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,23 +29,47 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_written: set[str] = set()
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and reread it: cuts lineage and survives lost executors."""
+    """Write df to the shared folder and reread it: cuts lineage and survives lost executors.
+
+    The table stays until ``discard``, ``release`` or the driver's end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mattelake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
 
 
+def _delete(path: str) -> None:
+    jvm = SparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+    _written.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialise`` that no plan reads any more."""
     path = getattr(df, "shared_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _delete(path)
+
+
+def release() -> None:
+    """Delete all tables of ``materialise``; results not written yet can no longer be read."""
+    for path in sorted(_written):
+        _delete(path)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        release()
 
 
 def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

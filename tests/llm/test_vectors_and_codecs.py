@@ -127,3 +127,15 @@ def test_broken_files_raise(cut):
     data = webp.encode(np.arange(400, dtype=np.uint32).reshape(20, 20) * 77777)
     with pytest.raises((webp.WebPError, IndexError)):
         webp.decode(data[:cut])
+
+
+def test_shared_tables_can_be_released(spark):
+    import os
+
+    from mattelake.llm import common
+
+    kept = common.materialise(spark.range(3).toDF("n"))
+    path = kept.shared_path.removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(path) and path.startswith(common.shared_dir(spark).removeprefix("file://"))
+    common.discard(kept)
+    assert not os.path.exists(path)

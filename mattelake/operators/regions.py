@@ -68,6 +68,13 @@ def hole_area(mask: np.ndarray) -> float:
     return float((size[closed] + beside[closed] / 2 - 1).sum())
 
 
+def enclosed(mask: np.ndarray) -> int:
+    """Unset pixels that no 4-connected path of unset pixels joins with the border."""
+    gaps = label(~mask, diagonal=False)
+    border = np.concatenate([gaps[0], gaps[-1], gaps[:, 0], gaps[:, -1]])
+    return int(((gaps > 0) & ~np.isin(gaps, border)).sum())
+
+
 def speckle_count(low: np.ndarray) -> int:
     """Regions of a few pixels, up to 0.025 % of the image but at least four."""
     most = max(4, round(low.size * 0.00025))
@@ -91,10 +98,7 @@ def regions(masks: DataFrame, foreground: int = 24, solid: int = 224, min_ratio:
                     continue
                 a = np.array(alpha).reshape(h, w)
                 fg, hard = a >= foreground, a >= solid
-                gaps = label(~hard, diagonal=False)
-                border = np.concatenate([gaps[0], gaps[-1], gaps[:, 0], gaps[:, -1]])
-                inside = int(((gaps > 0) & ~np.isin(gaps, border)).sum())
-                out.append((int((areas(fg) / a.size >= min_ratio).sum()), inside, hole_area(hard) / max(1, int(fg.sum()))))
+                out.append((int((areas(fg) / a.size >= min_ratio).sum()), enclosed(hard), hole_area(hard) / max(1, int(fg.sum()))))
             cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*keep, "components", "hole_pixels", "hole_ratio"])
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from mattelake.config import Settings, fingerprint
 from mattelake.functions import scalars
-from mattelake.operators import boxes, decision, edges, ledger, qc, regions
+from mattelake.operators import boxes, decision, edges, ledger, qc
 from mattelake.schemas import extend
 
 VERDICT = "ran boolean, checked_people int, reasons array<string>, min_recall double, min_iou double, sam_error string"
@@ -113,9 +113,8 @@ def run(images: DataFrame, plugins: Plugins, settings: Settings = Settings(), do
     broken = todo.where("error is not null").select("source_file", "height", "width", "error")
     broken = broken.unionByName(found.where("mask_error is not null or detect_error is not null").select("source_file", "height", "width", F.coalesce("mask_error", "detect_error").alias("error")))
 
-    bytes_to_ints = F.transform(F.sequence(F.lit(1), F.length("mask")), lambda i: F.conv(F.hex(F.substring(F.col("mask"), i, F.lit(1))), 16, 10).cast("int"))
-    scored = edges.artifact_scores(whole.withColumns({"alpha": bytes_to_ints, "rgb": F.col("data"), "mask_bytes": F.col("mask")}), settings.edges)
-    measured = qc.judge(qc.measure(regions.regions(scored, settings.mask.foreground, settings.mask.solid, settings.mask.min_component_ratio), settings.mask), settings.mask)
+    scored = edges.artifact_scores(whole.withColumns({"rgb": F.col("data"), "mask_bytes": F.col("mask")}), settings.edges)
+    measured = qc.judge(qc.measure_bytes(scored, settings.mask, "mask_bytes"), settings.mask)
 
     single = measured.select(F.col("source_file").alias("image_id"), F.posexplode("boxes").alias("box_idx", "b")).select("image_id", "box_idx", "b.*")
     chosen = boxes.human_triggers(boxes.select_prompts(single, settings.verify), settings.verify).withColumnRenamed("image_id", "source_file")

@@ -97,3 +97,16 @@ def test_label_against_flood_fill():
                     seen[i, j] = n
                     stack += [(i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if diagonal or not (a and b)]
             assert (got == seen).all()
+
+
+def test_kernel_and_expressions_agree(spark):
+    rng = np.random.default_rng(9)
+    shapes = [(7, 7), (12, 9), (5, 40), (130, 120)]
+    masks = [np.where(rng.random(s) < 0.7, rng.choice([0, 24, 100, 224, 255], s), 0).astype(np.uint8) for s in shapes]
+    ints = spark.createDataFrame([(str(k), *m.shape, m.ravel().tolist()) for k, m in enumerate(masks)], MASK)
+    raw = spark.createDataFrame([(str(k), *m.shape, m.tobytes()) for k, m in enumerate(masks)], "image_id string, height int, width int, mask binary")
+    names = qc.MEASURES.replace(",", "").split(" ")[::2]
+    a = qc.measure(regions.regions(ints)).select("image_id", *names).orderBy("image_id").collect()
+    b = qc.measure_bytes(raw).select("image_id", *names).orderBy("image_id").collect()
+    for x, y in zip(a, b):
+        assert all(x[n] == pytest.approx(y[n]) for n in names)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mattelake.config import EdgeRules
 from mattelake.functions import scalars
 
+
 def _names(c: str) -> Column:
     return F.coalesce(F.col(c), F.array().cast("array<string>"))
 

@@ -342,6 +342,21 @@ def test_word_ids_are_the_tokenizers():
     assert [g.tolist() for g in got] == [hilbert_pack.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_cache_turns_over(monkeypatch):
+    monkeypatch.setattr(hilbert_pack, "CACHED_WORDS", 40)
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcé'1.") for _ in range(rng.randint(1, 4))) for _ in range(12)) for _ in range(200)]
+    path = hilbert_pack.default_tokenizer()
+    words = hilbert_pack.WordIds(path)
+    got = [ids.tolist() for lo in range(0, 200, 10) for ids in words.encode(texts[lo : lo + 10])]
+    assert got == [hilbert_pack.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts] and words.old
+
+
+def test_folds_by_crc32(spark):
+    got = spark.range(50).select("id", id_bucket("id", 5).alias("b")).collect()
+    assert all(r["b"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in got)
+
+
 def test_hilbert_curve_steps_to_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), axis=-1).reshape(-1, dims)

@@ -139,3 +139,11 @@ def test_shared_tables_can_be_released(spark):
     assert kept.count() == 3 and os.path.isdir(path) and path.startswith(common.shared_dir(spark).removeprefix("file://"))
     common.discard(kept)
     assert not os.path.exists(path)
+
+
+def test_public_sample_image():
+    """The one-pixel lossless image that browsers' feature tests use, written by another encoder."""
+    import base64
+
+    data = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(data).tolist() == [[0]]

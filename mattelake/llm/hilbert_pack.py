@@ -28,9 +28,9 @@ SEPARATOR = 1
 DIMS, BITS = 4, 12
 HASHED = 1024
 SPREAD = 8.0
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 CACHED_CHARS = 8_000_000
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 256
 #: Characters that composition, lower-casing in context or unusual white space may treat otherwise.
 BEYOND = re.compile("[\u0300-\U0010ffff]")
 UNSTEADY = re.compile("[^\x00-\u02ff\u0400-\u04ff\u2010-\u2027\u2030-\u205e\u4e00-\u9fff\uac00-\ud7a3]")
@@ -80,6 +80,14 @@ def word_rule(path: str) -> tuple[re.Pattern, regex.Pattern, np.ndarray] | None:
     return re.compile(plain), regex.compile(rule), ends
 
 
+def _gathered(ids: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some rows of a ragged list behind each other, and each row's size."""
+    start = ends[rows]
+    size = ends[rows + 1] - start
+    before = np.cumsum(size) - size
+    return ids[np.arange(int(size.sum())) + np.repeat(start - before, size)], size
+
+
 class WordIds(dict):
     """Word in lower case -> number; words not met before wait until ``settle``.
 
@@ -91,21 +99,24 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.tok, self.rule, self.fresh, self.chars = tokenizer(path), word_rule(path), [], 0
+        self.tok, self.rule, self.fresh, self.origin, self.chars = tokenizer(path), word_rule(path), [], [], 0
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.old, self.old_ids, self.old_ends = {}, self.ids, self.ends
 
     def __missing__(self, word: str) -> int:
         self[word] = at = len(self)
         self.fresh.append(word)
+        self.origin.append(self.old.get(word, -1))
         self.chars += len(word)
         return at
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def settle(self, step: int = 400) -> None:
-        ids, sizes = [self.ids], []
-        groups = [self.fresh[lo : lo + step] for lo in range(0, len(self.fresh), step)]
+    def _looked_up(self, words: list[str], step: int = 400) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words behind each other, and where each word's end."""
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        groups = [words[lo : lo + step] for lo in range(0, len(words), step)]
         for group, own in zip(groups, self._encoded([" ".join(g) for g in groups])):
             cut = np.flatnonzero(self.rule[2][own]) + 1
             if len(cut) != len(group) or cut[-1] != len(own):  # not told apart: one by one
@@ -113,16 +124,30 @@ class WordIds(dict):
                 own, cut = np.concatenate(each), np.cumsum([len(e) for e in each])
             ids.append(own)
             sizes.append(np.diff(cut, prepend=0))
-        if sizes:
-            self.ids = np.concatenate(ids)
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
-        self.fresh = []
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+    def settle(self) -> None:
+        """Gives the waiting words their ids: from the older half of the cache, else from the tokenizer."""
+        if not self.fresh:
+            return
+        origin = np.array(self.origin)
+        ids, ends = self._looked_up([w for w, o in zip(self.fresh, self.origin) if o < 0])
+        rows = np.where(origin >= 0, origin, len(self.old_ends) - 2 + np.cumsum(origin < 0))
+        all_ids, all_ends = np.concatenate([self.old_ids, ids]), np.concatenate([self.old_ends, self.old_ends[-1] + ends])
+        own, size = _gathered(all_ids, all_ends, rows)
+        self.ids = np.concatenate([self.ids, own])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        self.fresh, self.origin = [], []
+
+    def _relax(self) -> None:
+        """Past half of the bound the words become the older half, and the half before goes."""
+        if 2 * len(self) > CACHED_WORDS or 2 * self.chars > CACHED_CHARS:
+            self.old, self.old_ids, self.old_ends = dict(self), self.ids, self.ends
+            self.clear()
+            self.chars, self.ids, self.ends = 0, self.ids[:0].copy(), np.zeros(1, np.int64)
 
     def expand(self, numbers: np.ndarray) -> np.ndarray:
-        start = self.ends[numbers]
-        size = self.ends[numbers + 1] - start
-        before = np.cumsum(size) - size
-        return self.ids[np.arange(int(size.sum())) + np.repeat(start - before, size)]
+        return _gathered(self.ids, self.ends, numbers)[0]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -139,9 +164,7 @@ class WordIds(dict):
         out = [None if r is None else self.expand(r) for r in rows]
         for i, ids in zip(whole, self._encoded([texts[i] for i in whole])):
             out[i] = ids
-        if len(self) > CACHED_WORDS or self.chars > CACHED_CHARS:
-            self.clear()
-            self.chars, self.ids, self.ends = 0, self.ids[:0], self.ends[:1]
+        self._relax()
         return out
 
 

@@ -19,10 +19,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mattelake.llm.common import materialise, renamed, restored, spread
+from mattelake.llm import near_copies
+from mattelake.llm.common import materialise, spread
 from mattelake.llm.components import connected_components, local_stars
 
 RADIUS = 2
@@ -195,16 +196,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return marked.join(named, "fp").select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without near copies: of each component the document whose id names it stays, once.
-
-    Of rows that repeat this id the one with the least text hash stays. Documents without an id cannot
-    be named, so all of them stay.
-    """
-    found = near_duplicates(docs, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
-    safe, new = renamed(docs)
-    own, text = new["doc_id"], new["text"]
-    named = safe.join(found, F.col(own) == F.col("doc_id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(own).orderBy(F.xxhash64(text)))
-    named = named.withColumn("nth", first).where("nth = 1").drop("nth")
-    return named.unionByName(safe.where(F.col(own).isNull())).select(*restored(new))
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without near copies, by the pipeline's rule (``near_copies``), which is not the query's."""
+    return near_copies.keep_one(docs)

@@ -34,7 +34,6 @@ SAMPLE_DOCS = 6000
 MAX_ENTRIES = 1500
 LEAST_DOCS, LEAST_ODDS = 4, 2.5
 PREFIXES = (4, 5, 6, 7)
-COUNT_CAP = 3
 
 
 @lru_cache(maxsize=1)
@@ -86,16 +85,14 @@ def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
 
 
 def weigh(text: str | None, auto: ahocorasick.Automaton) -> tuple[float, int]:
-    """Sum of the weights of all hits, at most ``COUNT_CAP`` of one entry, and the number of words."""
+    """Sum of the weights of all hits and the number of words."""
     folded = fold(text)
     hits, safe = [], []
     for end, (size, w, exception) in auto.iter(folded):
         (safe if exception else hits).append((end + 1 - size, end + 1, w))
     if safe:
         hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in safe)]
-    by = Counter(folded[a:b] for a, b, _ in hits)
-    worth = {folded[a:b]: w for a, b, w in hits}
-    return sum(min(n, COUNT_CAP) * worth[k] for k, n in by.items()), max(1, folded.count(" ") - 1)
+    return math.fsum(w for _, _, w in hits), max(1, folded.count(" ") - 1)
 
 
 def _features(total: float, words: int) -> list[float]:

@@ -3,7 +3,8 @@
 Texts are folded first: lower case, homoglyphs and accented letters to plain Latin, digits and signs that
 stand for letters inside words to these letters, all else to single spaces. Lexicon entries are words or
 beginnings of words; their weights are log odds from a bounded sample of labelled rows. Hits inside an
-exception phrase do not count. The weights' sum and its share of the text's length give the score.
+exception phrase do not count. A token whose digits or signs touch a letter on one side only is matched
+both as it is and folded. The weights' sum and its share of the text's length give the score.
 """
 
 from __future__ import annotations
@@ -74,6 +75,49 @@ def fold(text: str | None) -> str:
     return f" {' '.join(LEET_RUN.sub(_leet, text).lower().translate(_table()).split())} "
 
 
+#: White-space tokens with a digit or sign that may stand for a letter.
+LEET_TOKEN = re.compile(r"(?<!\S)[^\s" + re.escape("".join(LEET)) + r"]*[" + re.escape("".join(LEET)) + r"]\S*")
+CLOSING = "!|.,;:?)]}>\"'’”»*_-"
+
+
+def _loose(m: re.Match) -> str:
+    s, a, b = m.string, m.start(), m.end()
+    if (b < len(s) and s[b].isalpha()) or (a > 0 and s[a - 1].isalpha()):
+        return "".join(map(LEET.get, m.group()))
+    return m.group()
+
+
+def _worth(folded: str, auto: ahocorasick.Automaton) -> float:
+    return sum(w for _, (_, w, exception) in auto.iter(folded) if not exception)
+
+
+def _best(token: str, auto: ahocorasick.Automaton) -> str:
+    """The token, or the form of it that weighs more: runs that touch a letter on one side folded, closing signs left out."""
+    own = fold(token)
+    best, top = token, _worth(own, auto)
+    for end in dict.fromkeys((len(token), len(token.rstrip(CLOSING)), len(token.rstrip(CLOSING + "@$")))):
+        form = LEET_RUN.sub(_loose, token[:end])
+        folded = fold(form)
+        if folded != own and (worth := _worth(folded, auto)) > top:
+            best, top = form, worth
+    return best
+
+
+_best_of_short = lru_cache(maxsize=100_000)(_best)
+
+
+def unmasked(text: str, auto: ahocorasick.Automaton) -> str:
+    """text with each token in the form that weighs most; plain numbers and punctuation stay."""
+
+    def form(m: re.Match) -> str:
+        token = m.group()
+        if token.isascii() and not any(map(str.isalpha, token)):
+            return token
+        return (_best_of_short if len(token) <= 64 else _best)(token, auto)
+
+    return LEET_TOKEN.sub(form, text)
+
+
 def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for entry, w in weights.items():
@@ -85,8 +129,8 @@ def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
 
 
 def weigh(text: str | None, auto: ahocorasick.Automaton) -> tuple[float, int]:
-    """Sum of the weights of all hits and the number of words."""
-    folded = fold(text)
+    """Sum of the weights of all hits, masked words in the form that weighs more, and the number of words."""
+    folded = fold(unmasked(text, auto) if text else text)
     hits, safe = [], []
     for end, (size, w, exception) in auto.iter(folded):
         (safe if exception else hits).append((end + 1 - size, end + 1, w))

@@ -7,7 +7,8 @@ precision. The window and the count follow from the cosine alone: for a pair jus
 are passed with the probability ``RECALL`` or more, for closer pairs more often.
 
 Vectors of a label are dealt into cells by thirds of the first few directions. A vector is a member of
-its own cell and a query in all cells that its windows touch, and a pair must lie within these windows.
+its own cell and a query in all cells that its dealing windows touch. These are so wide that all of them
+and the count together miss a threshold pair with the probability ``1 - RECALL`` at most.
 Cells of many members are dealt on into blocks of members and of queries, so a group's size is bounded
 whatever the data. Equal vectors are one node with a multiplicity.
 """
@@ -32,8 +33,6 @@ DIRECTIONS = 24
 RECALL = 0.9999
 #: Half-width of a window in standard deviations of a threshold pair's difference along a direction.
 WINDOW = 2.5
-#: Half-width of the dealing windows, in the same unit.
-DEALING_WINDOW = 3.5
 CELL_SIZE = 2048
 MAX_CUTS = 12
 
@@ -45,14 +44,24 @@ def directions(dim: int, count: int = DIRECTIONS) -> np.ndarray:
     return d / np.linalg.norm(d, axis=0)
 
 
-def calibrate(count: int = DIRECTIONS, window: float = WINDOW, recall: float = RECALL) -> int:
-    """Largest number of collisions that a threshold pair reaches with probability ``recall``."""
+def _calibrated(count: int, window: float, recall: float) -> tuple[int, float]:
     p = 2 * NormalDist().cdf(window) - 1
     tail, need = 0.0, count + 1
     while tail < recall and need > 0:
         need -= 1
         tail += math.comb(count, need) * p**need * (1 - p) ** (count - need)
-    return need
+    return need, tail
+
+
+def calibrate(count: int = DIRECTIONS, window: float = WINDOW, recall: float = RECALL) -> int:
+    """Largest number of collisions that a threshold pair reaches with probability ``recall``."""
+    return _calibrated(count, window, recall)[0]
+
+
+def dealing_window(cuts: int) -> float:
+    """Half-width of a dealing window, in the unit of ``WINDOW``; what the count leaves of the loss is shared out."""
+    spare = _calibrated(DIRECTIONS, WINDOW, RECALL)[1] - RECALL
+    return NormalDist().inv_cdf(1 - spare / (2 * max(1, cuts)))
 
 
 def step(cosine: float, dim: int) -> float:
@@ -68,11 +77,11 @@ def verified(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, cosine:
     return out
 
 
-def colliding(queries: np.ndarray, members: np.ndarray, cosine: float = COSINE, cuts: int = 0, block: int = 512):
+def colliding(queries: np.ndarray, members: np.ndarray, cosine: float = COSINE, block: int = 512):
     """(query, member) positions of candidate pairs, block by block. Both are plain double vectors."""
     dim = members.shape[1]
-    planes, unit = directions(dim), step(cosine, dim)
-    need, half = calibrate(), WINDOW * unit + 1e-12
+    planes = directions(dim)
+    need, half = calibrate(), WINDOW * step(cosine, dim) + 1e-12
     along_q = queries @ planes / np.linalg.norm(queries, axis=1)[:, None]
     along_m = members @ planes / np.linalg.norm(members, axis=1)[:, None]
     order = np.argsort(along_m, axis=0, kind="stable")
@@ -90,9 +99,6 @@ def colliding(queries: np.ndarray, members: np.ndarray, cosine: float = COSINE,
             width = np.searchsorted(line, own[:, d] + half, "right") - first
             hits += (rank[d][None, :] - first.astype(kind)[:, None]) < width.astype(kind)[:, None]
         i, j = np.nonzero(hits >= need)
-        if cuts:
-            near = (np.abs(own[i, :cuts] - along_m[j, :cuts]) <= DEALING_WINDOW * unit).all(axis=1)
-            i, j = i[near], j[near]
         yield i + lo, j
 
 
@@ -106,6 +112,8 @@ def _usable(vector: str, label: str):
 def _dealt(reps: DataFrame, cuts: int, edges: list[list[float]], cosine: float) -> DataFrame:
     """(rid, label, dim, mult, vec, cell, own): each vector in its own cell and in all its windows touch."""
 
+    window = dealing_window(cuts)
+
     def run(batches):
         for b in batches:
             vecs = b.column("vec").to_pylist()
@@ -113,7 +121,7 @@ def _dealt(reps: DataFrame, cuts: int, edges: list[list[float]], cosine: float)
             for r, v in enumerate(vecs):
                 x = np.array(v, np.float64)
                 along = (x / np.linalg.norm(x)) @ directions(len(x))[:, :cuts]
-                half = DEALING_WINDOW * step(cosine, len(x))
+                half = window * step(cosine, len(x)) + 1e-12
                 mine, codes = 0, np.zeros(1, np.int64)
                 for d in range(cuts):
                     lo, at, hi = np.searchsorted(edges[d], [along[d] - half, along[d], along[d] + half])
@@ -176,7 +184,7 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, vec_id: str = "vec
         rid_q, rid_m, mult = q["rid"].to_numpy(), m["rid"].to_numpy(), m["mult"].to_numpy()
         links = np.zeros(len(q), np.int64)
         u, v = np.empty(0, np.int64), np.empty(0, np.int64)
-        for i, j in colliding(x, y, cosine, cuts):
+        for i, j in colliding(x, y, cosine):
             apart = rid_q[i] != rid_m[j]
             i, j = i[apart], j[apart]
             good = verified(x, y, i, j, cosine)

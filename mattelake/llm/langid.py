@@ -31,6 +31,8 @@ FIT_CHARS = 24
 #: Weight of the pooled distribution, in pieces, and the probability of a character no piece covers.
 PRIOR_PIECES = 2000.0
 UNKNOWN = 1e-7
+#: Log probability of a word that no segmentation gives; below that of any word that has one.
+IMPOSSIBLE = -1e15
 CACHED_WORDS = 400_000
 CACHED_CHARS = 8_000_000
 
@@ -128,19 +130,20 @@ def word_scores(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.ndarr
     for rows in _by_length(words):
         found = pieces.ending([MARK + words[i] for i in rows])
         n, size, width = found.shape
-        alpha, scale = np.zeros((n, size + width, probs.shape[1])), np.zeros(n)
+        alpha, scale = np.zeros((n, size + width, probs.shape[1])), np.zeros((n, probs.shape[1]))
         alpha[:, width] = 1
         for pos in range(1, size):
             before = alpha[:, pos : pos + width][:, ::-1]
             alpha[:, pos + width] = np.einsum("nlk,nlk->nk", before, weights[found[:, pos]])
             if pos % 8 == 0:  # keep long words within the range of doubles
                 window = alpha[:, pos + 1 : pos + 1 + width]
-                top = window.max(axis=(1, 2))
-                window /= top[:, None, None]
+                top = window.max(axis=1)
+                top[top == 0] = 1
+                window /= top[:, None]
                 scale += np.log(top)
         with np.errstate(divide="ignore"):
-            out[rows] = np.log(alpha[:, -1]) + scale[:, None]
-    return np.maximum(out, -1e6)
+            out[rows] = np.log(alpha[:, -1]) + scale
+    return np.where(np.isneginf(out), IMPOSSIBLE, out)
 
 
 def fit(counts: dict[str, dict[str, int]], vocab: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:

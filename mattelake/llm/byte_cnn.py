@@ -17,7 +17,7 @@ from mattelake.llm.common import id_bucket, spread
 from mattelake.llm.toxicity import sample
 
 CHUNK, OVERLAP = 512, 32
-WIDTH, STRIDE, FILTERS = 6, 2, 24
+WIDTH, STRIDE, FILTERS = 6, 1, 24
 #: Bounds of the training sample: documents, and evenly spaced chunks of each.
 SAMPLE_DOCS, SAMPLE_CHUNKS = 3000, 6
 EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.01, 1e-4

@@ -18,9 +18,9 @@ from mattelake.llm.toxicity import sample
 
 CHUNK, OVERLAP = 512, 32
 WIDTH, STRIDE, FILTERS = 6, 1, 24
-#: Bounds of the training sample: documents, and evenly spaced chunks of each.
-SAMPLE_DOCS, SAMPLE_CHUNKS = 3000, 6
-EPOCHS, BATCH, RATE, DECAY = 8, 64, 0.01, 1e-4
+#: Bounds of the training sample: expected documents, and expected bytes of them; texts are taken whole.
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 1 << 26
+EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 1e-4
 
 
 def chunks(text: bytes) -> np.ndarray:
@@ -76,13 +76,20 @@ class Model:
             settle()
         return np.concatenate(out) if out else np.empty(0)
 
+    def peaks(self, x: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """(chunks, FILTERS) position and value of each filter's largest response, before bias and rectifier."""
+        where, top = [], []
+        for lo in range(0, len(x), block):
+            act = self.responses(x[lo : lo + block])
+            at = act.argmax(axis=1)
+            where.append(at)
+            top.append(np.take_along_axis(act, at[:, None], axis=1)[:, 0])
+        return np.concatenate(where), np.concatenate(top)
+
     def train(self, texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> Model:
-        """Adam on the cross entropy, both labels weighted to half the mass, by chunks spaced over each text."""
+        """Adam on the cross entropy, both labels weighted to half the mass, by all chunks of each text."""
         rng = np.random.default_rng(seed)
-        data = []
-        for t in texts:
-            c = chunks(t)
-            data.append(np.ascontiguousarray(c[np.unique(np.linspace(0, len(c) - 1, SAMPLE_CHUNKS).astype(int))]))
+        data = [chunks(t) for t in texts]
         n_pos = max(1.0, float(label.sum()))
         weight = np.where(label == 1, 0.5 * len(label) / n_pos, 0.5 * len(label) / max(1.0, len(label) - n_pos))
         weight = np.sqrt(weight)
@@ -97,9 +104,8 @@ class Model:
                 sizes = np.array([len(c) for c in own])
                 at, doc_of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(own)), sizes)
                 x = np.concatenate(own)
-                act = self.responses(x)
-                where = act.argmax(axis=1)
-                top = np.take_along_axis(act, where[:, None], axis=1)[:, 0] + self.bias
+                where, top = self.peaks(x)
+                top = top + self.bias
                 lit = top > 0
                 top = np.maximum(top, 0)
                 mean, peak = np.add.reduceat(top, at) / sizes[:, None], np.maximum.reduceat(top, at)
@@ -124,26 +130,25 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> Model:
-    """Train on about ``size`` labelled rows outside the held-out fold; only the chunks used reach the driver."""
-
-    def run(batches):
-        for b in batches:
-            kept = []
-            for t in b.column("text").to_pylist():
-                t = (t or "").encode("utf-8", "surrogatepass")
-                c = chunks(t)
-                kept.append(t if len(c) <= SAMPLE_CHUNKS else b"".join(c[i].tobytes()[: CHUNK - OVERLAP] for i in np.unique(np.linspace(0, len(c) - 1, SAMPLE_CHUNKS).astype(int))))
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), b.column("label").cast(pa.int32())], names=["text", "label"])
+    """Train on about ``size`` labelled rows outside the held-out fold, whole texts, in the driver.
 
-    rows = sample(docs, labels, "quality", 3, 1, size).mapInArrow(run, "text binary, label int").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["text"])))
-    return Model().train([bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], np.float32)) if rows else Model()
+    Where these would be more than ``SAMPLE_BYTES`` bytes, fewer rows are taken, by the same hash of their ids.
+    """
+    chosen = sample(docs, labels, "quality", 3, 1, size)
+    total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > SAMPLE_BYTES:
+        chosen = sample(docs, labels, "quality", 3, 1, max(1, int(size * SAMPLE_BYTES / total)))
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    rows = chosen.select(raw, F.col("label").cast("int").alias("label")).toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["label"], r["text"]))
+    return Model().train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.float32)) if rows else Model()
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    A null or empty text is read as one chunk of zero bytes. A null doc_id is in no fold: held_out is
+    A null or empty text is read as one chunk of zero bytes; a text of any length is read whole, in bounded
+    blocks of chunks. A document with both labels counts as label 1. A null doc_id is in no fold: held_out is
     false. Without labelled rows the untrained network answers. Repeated rows are rated alike; other
     columns are ignored.
     """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as the session names it.
+
+    A session that names none gets a temporary one if it is local, where driver and executors are one
+    process; on a cluster their folders would be apart and results incomplete, so there it is an error.
+    """
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='mattelake-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

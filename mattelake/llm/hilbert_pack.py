@@ -28,6 +28,8 @@ SEPARATOR = 1
 DIMS, BITS = 4, 12
 HASHED = 1024
 SPREAD = 8.0
+#: Order along the curve; rows equal in all but the last have equal pieces.
+ORDER = ("key", "doc_id", "tie", "row")
 CACHED_WORDS = 300_000
 CACHED_CHARS = 8_000_000
 ROWS_AT_ONCE = 256
@@ -214,7 +216,7 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, key, n, ids): ids as 16- or 32-bit words, with the separator at the end."""
+    """(doc_id, tie, key, n, ids): ids as 16- or 32-bit words, with the separator at the end; tie hashes the text."""
 
     def run(batches):
         words, kind = word_ids(path), f"<u{id_bytes(path)}"
@@ -230,24 +232,25 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 unit = 0.5 + 0.5 * np.tanh(SPREAD * mid)
                 keys = hilbert_key(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(keys), pa.array([len(i) // id_bytes(path) for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "key", "n", "ids"],
+                    [part.column("doc_id"), part.column("tie"), pa.array(keys), pa.array([len(i) // id_bytes(path) for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "tie", "key", "n", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("key", "long").add("n", "long").add("ids", "binary"))
+    wanted = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    return wanted.mapInArrow(run, wanted.drop("text").schema.add("key", "long").add("n", "long").add("ids", "binary"))
 
 
 def offsets(sizes: DataFrame) -> DataFrame:
-    """(row, key, n) -> (row, first): tokens before the row in the order of key and row."""
+    """(row, doc_id, tie, key, n) -> (row, first): tokens before the row in the order of ``ORDER``."""
     spark = sizes.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = materialise(sizes.repartitionByRange(parts, "key", "row").withColumn("part", F.spark_partition_id()))
+    ranged = materialise(sizes.repartitionByRange(parts, *ORDER).withColumn("part", F.spark_partition_id()))
     before, sums = 0, []
     for part, n in sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n")).collect()):
         sums.append((part, before))
         before += n
     base = F.broadcast(spark.createDataFrame(sums, "part int, base long"))  # a row for each partition
-    earlier = Window.partitionBy("part").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     return ranged.withColumn("inner", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(base, "part").select("row", (F.col("base") + F.col("inner")).alias("first"))
 
 
@@ -255,11 +258,13 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the separator alone. Repeated rows and null ids are documents of their own.
-    Documents of equal key follow in the order of the rows read. No documents give no pieces.
+    Documents of equal key follow by id (null first), then by a hash of the text, so the result does not
+    depend on partitioning. A text of any length is read whole and cut wherever a sequence is full; a row
+    must fit a Python worker's memory. Other columns are ignored. No documents give no pieces.
     """
     path = path or default_tokenizer()
     tokens = materialise(tokenised(spread(docs.select("doc_id", "text")), path).withColumn("row", F.monotonically_increasing_id()))
-    first = offsets(tokens.select("row", "key", "n"))
+    first = offsets(tokens.select("row", "doc_id", "tie", "key", "n"))
     placed = tokens.join(first, "row").select("doc_id", "n", "ids", "first")
     wide = id_bytes(path)
 

@@ -3,31 +3,33 @@
 Each language has a probability for every piece of a fixed public vocabulary. A text is its letter runs
 in lower case, each with the vocabulary's word mark before it; the probability of a run is the sum over
 all its segmentations, by the forward algorithm. Probabilities are fitted by EM (forward-backward) on
-word counts of a bounded sample of labelled rows. Distinct words of a batch are scored once.
+word counts of a bounded sample of labelled rows; each round is one pass over the counts on the
+executors. Distinct words of a batch are scored once.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mattelake.llm.common import id_bucket, renamed, restored, spread
+from mattelake.llm.common import discard, id_bucket, materialise, renamed, restored, spread
 
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
-#: Bounds of the fitting sample: expected documents, and words kept per language.
-SAMPLE_DOCS = 4096
-WORDS_PER_LANG = 6_000
+#: Bound of the fitting sample: expected documents, in equal parts of each language.
+SAMPLE_DOCS = 2048
 EM_ROUNDS = 3
-#: Longest word used for fitting; plain products over it stay above the smallest double.
-FIT_CHARS = 24
+#: Up to this length plain products over a word stay above the smallest double; longer ones are added up as logarithms.
+PLAIN_CHARS = 24
+#: Unit of the expected uses.
+UNIT = 2.0**-24
 #: Weight of the pooled distribution, in pieces, and the probability of a character no piece covers.
 PRIOR_PIECES = 2000.0
 UNKNOWN = 1e-7
@@ -146,51 +148,117 @@ def word_scores(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.ndarr
     return np.where(np.isneginf(out), IMPOSSIBLE, out)
 
 
+def _expected(found: np.ndarray, tally: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Expected uses (words, end position, length - 1, languages) of pieces in ``tally`` words of one length."""
+    (n, size, width), k = found.shape, weights.shape[1]
+    if size <= PLAIN_CHARS:
+        alpha, beta = np.zeros((n, size + width, k)), np.zeros((n, size + width, k))
+        alpha[:, width], beta[:, -1] = 1, 1
+        for pos in range(1, size):
+            alpha[:, pos + width] = np.einsum("nlk,nlk->nk", alpha[:, pos : pos + width][:, ::-1], weights[found[:, pos]])
+        share = tally / np.maximum(alpha[:, -1], 1e-300)
+        out = np.zeros((n, size, width, k))
+        for pos in range(size - 1, 0, -1):
+            step = weights[found[:, pos]] * beta[:, pos + width][:, None]
+            beta[:, pos : pos + width][:, ::-1] += step
+            out[:, pos] = step * alpha[:, pos : pos + width][:, ::-1] * share[:, None]
+        return out
+    # Products over long words leave the range of doubles, so these are summed as logarithms.
+    with np.errstate(divide="ignore"):
+        logs = np.log(weights)
+    alpha, beta = np.full((n, size + width, k), -np.inf), np.full((n, size + width, k), -np.inf)
+    alpha[:, width], beta[:, -1] = 0, 0
+    for pos in range(1, size):
+        alpha[:, pos + width] = np.logaddexp.reduce(alpha[:, pos : pos + width][:, ::-1] + logs[found[:, pos]], axis=1)
+    out = np.zeros((n, size, width, k))
+    whole = alpha[:, -1]
+    base = np.where(np.isneginf(whole), 0, whole)[:, None]
+    for pos in range(size - 1, 0, -1):
+        step = logs[found[:, pos]] + beta[:, pos + width][:, None]
+        beta[:, pos : pos + width][:, ::-1] = np.logaddexp(beta[:, pos : pos + width][:, ::-1], step)
+        out[:, pos] = np.exp(step + alpha[:, pos : pos + width][:, ::-1] - base) * tally[:, None]
+    return out
+
+
+def expected_uses(words: list[str], tally: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
+    """(pieces, languages): how often each piece is used in ``tally`` (words, languages) words, in units of ``UNIT``.
+
+    The uses are whole numbers, so sums over tasks do not depend on their order.
+    """
+    weights, m, k = _padded(probs), len(probs), probs.shape[1]
+    total = np.zeros((m + 2, k))
+    for rows in _by_length(words):
+        found = pieces.ending([MARK + words[i] for i in rows])
+        use = np.rint(_expected(found, tally[rows], weights) / UNIT)
+        flat = found.ravel()
+        for j in range(k):
+            total[:, j] += np.bincount(flat, use[..., j].ravel(), m + 2)
+    return total[:m]
+
+
+def maximised(expected: np.ndarray) -> np.ndarray:
+    """Probabilities (pieces, languages) from expected uses, each language drawn towards the pooled ones."""
+    pooled = expected.sum(axis=1) + 0.05
+    expected = expected + PRIOR_PIECES * (pooled / pooled.sum())[:, None]
+    return expected / expected.sum(axis=0)
+
+
 def fit(counts: dict[str, dict[str, int]], vocab: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages, and piece probabilities (pieces, languages), from word counts by language."""
+    """Languages, and piece probabilities (pieces, languages), from word counts by language, in one process."""
     langs, pieces = sorted(counts), Pieces(vocab)
-    words = sorted({w for c in counts.values() for w in c if len(w) <= FIT_CHARS})
-    k, m = len(langs), len(vocab)
-    tally = np.array([[counts[lang].get(w, 0) for lang in langs] for w in words], float).reshape(len(words), k)
-    probs = np.full((m, k), 1 / max(1, m))
-    groups = [(rows, pieces.ending([MARK + words[i] for i in rows])) for rows in _by_length(words)]
+    words = sorted({w for c in counts.values() for w in c})
+    tally = np.array([[counts[lang].get(w, 0) for lang in langs] for w in words], float).reshape(len(words), len(langs))
+    probs = np.full((len(vocab), len(langs)), 1 / max(1, len(vocab)))
     for _ in range(rounds if words else 0):
-        weights, expected = _padded(probs), np.zeros((m + 2, k))
-        for rows, found in groups:
-            n, size, width = found.shape
-            alpha, beta = np.zeros((n, size + width, k)), np.zeros((n, size + width, k))
-            alpha[:, width], beta[:, -1] = 1, 1
-            for pos in range(1, size):
-                alpha[:, pos + width] = np.einsum("nlk,nlk->nk", alpha[:, pos : pos + width][:, ::-1], weights[found[:, pos]])
-            share = tally[rows] / np.maximum(alpha[:, -1], 1e-300)
-            for pos in range(size - 1, 0, -1):
-                step = weights[found[:, pos]] * beta[:, pos + width][:, None]
-                beta[:, pos : pos + width][:, ::-1] += step
-                use = step * alpha[:, pos : pos + width][:, ::-1] * share[:, None]
-                flat = found[:, pos].ravel()
-                for j in range(k):
-                    expected[:, j] += np.bincount(flat, use[:, :, j].ravel(), m + 2)
-        expected = expected[:m]
-        pooled = expected.sum(axis=1) + 0.05
-        expected += PRIOR_PIECES * (pooled / pooled.sum())[:, None]
-        probs = expected / expected.sum(axis=0)
+        probs = maximised(expected_uses(words, tally, pieces, probs) * UNIT)
     return langs, probs
 
 
-def learn(docs: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS, words_per_lang: int = WORDS_PER_LANG) -> tuple[list[str], np.ndarray]:
-    """Fit on about ``sample_docs`` labelled rows outside the held-out fold, taken by a hash of their ids."""
-    vocab = vocabulary(path or default_vocabulary())
-    fold = docs.where((id_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = fold.select("doc_id").count()
-    if n > sample_docs:
-        fold = fold.where(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")) < F.lit(int(-(2**63) + 2**64 * (sample_docs / n))))
-    words = fold.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    counted = words.groupBy("lang", "word").count()
-    top = counted.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("nth") <= words_per_lang)
-    counts: dict[str, dict[str, int]] = {}
-    for lang, word, c in top.select("lang", "word", "count").collect():
-        counts.setdefault(lang, {})[word] = c
-    return fit(counts, vocab)
+def _expected_column(words: DataFrame, path: str, probs: np.ndarray) -> np.ndarray:
+    """``expected_uses`` of a table (word, tally array<double>), summed over its tasks."""
+    m, k = probs.shape
+
+    def run(batches):
+        pieces = pieces_of(path)
+        for b in batches:
+            tally = np.array(b.column("tally").to_pylist(), float).reshape(b.num_rows, k)
+            total = expected_uses(b.column("word").to_pylist(), tally, pieces, probs)
+            piece, lang = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], names=["piece", "lang", "uses"])
+
+    # At most a row for each piece and language.
+    got = words.mapInArrow(run, "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toPandas()
+    out = np.zeros((m, k))
+    out[got["piece"], got["lang"]] = got["uses"] * UNIT
+    return out
+
+
+def learn(docs: DataFrame, path: str | None = None, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
+    """Fit on about ``sample_docs`` labelled rows outside the held-out fold, the same number of each language.
+
+    Rows are taken by a hash of their ids, whole; a language with fewer rows gives all. All words of these
+    rows count. The driver holds the probabilities: a number for each piece and language.
+    """
+    path = path or default_vocabulary()
+    fold = docs.where((id_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").alias("lang"), "text")
+    sizes = sorted(tuple(r) for r in fold.groupBy("lang").count().collect())
+    langs = [lang for lang, _ in sizes]
+    probs = np.full((len(vocabulary(path)), len(langs)), 1 / max(1, len(vocabulary(path))))
+    if not langs:
+        return langs, probs
+    shares = [(lang, i, min(1.0, sample_docs / len(langs) / n)) for i, (lang, n) in enumerate(sizes)]
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, at int, share double"))  # a row for each language
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 40)) < F.col("share") * float(1 << 40)
+    sample = fold.join(chosen, "lang").where(drawn)
+    words = sample.select("at", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    counted = words.groupBy("word", "at").count()
+    tally = F.array(*[F.sum(F.when(F.col("at") == i, F.col("count")).otherwise(0)).cast("double") for i in range(len(langs))])
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    table = materialise(counted.groupBy("word").agg(tally.alias("tally")).repartition(tasks, "word"))
+    for _ in range(EM_ROUNDS):
+        probs = maximised(_expected_column(table, path, probs))
+    discard(table)
+    return langs, probs
 
 
 class _Scorer(dict):
@@ -236,7 +304,8 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, path: str | No
     """docs with lang_pred and score (the posterior of that language under equal priors).
 
     A text that is null or has no letter, and any text where no language was learned, is ``und`` with
-    score 0. Ties go to the first language in code-point order. Other columns pass through.
+    score 0. Ties go to the first language in code-point order. Texts are read whole whatever their length;
+    repeated rows get equal answers. Other columns pass through.
     """
     path = path or default_vocabulary()
     names = docs.columns

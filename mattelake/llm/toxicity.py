@@ -12,8 +12,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -21,19 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mattelake.llm.common import id_bucket, spread
+from mattelake.llm.common import discard, id_bucket, materialise, spread
 
 #: Words that count without being learned, with their weight.
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "worthless", "pathetic", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "bitch", "vermin", "filth")
 SEED_WEIGHT = 2.0
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "not an idiot", "not stupid")
+#: Phrases around seed words in which these do not count; more are learned.
+EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collection", "not an idiot", "not a moron", "not stupid", "not worthless", "stupid question", "sore loser", "rat vermin")
 #: Cyrillic, Greek and other look-alikes, in pairs of look-alike and plain letter.
 LOOKALIKES = "аa еe оo рp сc уy хx іi јj ѕs ԁd һh ӏl ԛq ԝw вb кk мm нh тt αa βb εe ιi κk νv οo ρp τt υu χx ηn ωw ıi łl øo đd ħh"
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
-#: Bounds of the learning sample and of what is learned.
+#: Bound of the learning sample, in documents.
 SAMPLE_DOCS = 6000
-MAX_ENTRIES = 1500
-LEAST_DOCS, LEAST_ODDS = 4, 2.5
+#: Documents of label 1 and log odds from which on an entry is taken, and those of label 0 that make a phrase an exception.
+LEAST_DOCS, LEAST_ODDS, LEAST_CLEAN = 4, 2.5, 4
 PREFIXES = (4, 5, 6, 7)
 
 
@@ -118,16 +121,29 @@ def unmasked(text: str, auto: ahocorasick.Automaton) -> str:
     return LEET_TOKEN.sub(form, text)
 
 
-def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
+def automaton(weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> ahocorasick.Automaton:
+    """Entries and exception phrases in one automaton; an entry that is an exception itself is an exception."""
     out = ahocorasick.Automaton()
     for entry, w in weights.items():
         out.add_word(entry, (len(entry), w, False))
-    for phrase in EXCEPTIONS:
+    for phrase in exceptions:
         out.add_word(f" {phrase} ", (len(phrase) + 2, 0.0, True))
     out.make_automaton()
     return out
 
 
+def uncovered(hits: list[tuple[int, int, float]], safe: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """The hits (start, end, weight) that lie in none of the safe spans, by one sweep over both."""
+    safe = sorted(safe)
+    starts, reach = [a for a, _, _ in safe], list(accumulate((b for _, b, _ in safe), max))
+    out = []
+    for h in hits:
+        before = bisect_right(starts, h[0])
+        if not before or reach[before - 1] < h[1]:
+            out.append(h)
+    return out
+
+
 def weigh(text: str | None, auto: ahocorasick.Automaton) -> tuple[float, int]:
     """Sum of the weights of all hits, masked words in the form that weighs more, and the number of words."""
     folded = fold(unmasked(text, auto) if text else text)
@@ -135,7 +151,7 @@ def weigh(text: str | None, auto: ahocorasick.Automaton) -> tuple[float, int]:
     for end, (size, w, exception) in auto.iter(folded):
         (safe if exception else hits).append((end + 1 - size, end + 1, w))
     if safe:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in safe)]
+        hits = uncovered(hits, safe)
     return math.fsum(w for _, _, w in hits), max(1, folded.count(" ") - 1)
 
 
@@ -194,6 +210,25 @@ def choose(found: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[st
     return out
 
 
+def phrases(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(phrase, pos, neg): documents of either label that have an entry's word beside a given next or last word."""
+
+    def run(batches):
+        heads = {e.strip() for e in weights if e.endswith(" ")}
+        stems = tuple(e.strip() for e in weights if not e.endswith(" "))
+        for b in batches:
+            counts = (Counter(), Counter())
+            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
+                words = fold(text).split()
+                at = [i for i, w in enumerate(words) if w in heads or (stems and w.startswith(stems))]
+                own = {f"{words[i]} {words[i + 1]}" for i in at if i + 1 < len(words)} | {f"{words[i - 1]} {words[i]}" for i in at if i}
+                counts[label].update(own)
+            names = list(counts[0] | counts[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())], names=["phrase", "pos", "neg"])
+
+    return rows.mapInArrow(run, "phrase string, pos long, neg long").groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def combine(features: np.ndarray, label: np.ndarray, rounds: int = 25) -> list[float]:
     """Logistic weights of the document features, by Newton steps with a small ridge."""
     w, ridge = np.zeros(features.shape[1]), 0.5 * np.eye(features.shape[1])
@@ -206,38 +241,47 @@ def combine(features: np.ndarray, label: np.ndarray, rounds: int = 25) -> list[f
     return [float(x) for x in w]
 
 
-def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[dict[str, float], list[float]]:
-    """Lexicon and feature weights. Without labelled rows of both kinds the seed words decide alone."""
-    rows = spread(sample(docs, labels, "toxic", 5, 0, size))
+def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE_DOCS) -> tuple[dict[str, float], tuple[str, ...], list[float]]:
+    """Lexicon, exception phrases and feature weights. Without labelled rows of both kinds the seed words decide alone.
+
+    Every entry that reaches the least count and odds is taken. Two-word phrases around an entry that clean
+    documents have and toxic ones have not are exceptions.
+    """
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    rows = materialise(sample(docs, labels, "toxic", 5, 0, size).repartition(tasks))
     n = dict(rows.groupBy("label").count().collect())
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     weights = {f" {w} ": SEED_WEIGHT for w in SEED_WORDS}
     if not n_pos or not n_neg:
-        return weights, [-3.0, 3.0, 0.0, 1.0]
+        return weights, EXCEPTIONS, [-3.0, 3.0, 0.0, 1.0]
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    best = candidates(rows).where((F.col("pos") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy((odds * F.col("pos")).desc(), "entry").limit(MAX_ENTRIES)
+    best = candidates(rows).where((F.col("pos") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy("entry")
     weights |= choose([tuple(r) for r in best.collect()], n_pos, n_neg)
+    clean = phrases(rows, weights).where((F.col("neg") >= LEAST_CLEAN) & (F.col("pos") == 0)).select("phrase").orderBy("phrase")
+    exceptions = tuple(dict.fromkeys((*EXCEPTIONS, *(r[0] for r in clean.collect()))))
 
     def run(batches):
-        auto = automaton(weights)
+        auto = automaton(weights, exceptions)
         for b in batches:
             got = [weigh(t, auto) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), b.column("label").cast(pa.int32())], names=["total", "words", "label"])
 
-    got = rows.mapInArrow(run, "total double, words long, label int").collect()
-    return weights, combine(np.array([_features(r[0], r[1]) for r in got]), np.array([r[2] for r in got], float))
+    got = sorted(tuple(r) for r in rows.mapInArrow(run, "total double, words long, label int").collect())
+    discard(rows)
+    return weights, exceptions, combine(np.array([_features(r[0], r[1]) for r in got]), np.array([r[2] for r in got], float))
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    A null or empty text has no hits and gets the score of a clean text. A null doc_id is in no fold:
-    held_out is false. Repeated rows are rated alike; other columns are ignored.
+    A null or empty text has no hits and gets the score of a clean text. Texts are scanned whole, in time
+    that grows with their length. Where several entries match the same place, all count. A document with both labels counts as toxic. A null
+    doc_id is in no fold: held_out is false. Repeated rows are rated alike; other columns are ignored.
     """
-    weights, weight_of = learn(docs, labels)
+    weights, exceptions, weight_of = learn(docs, labels)
 
     def run(batches):
-        auto = automaton(weights)
+        auto = automaton(weights, exceptions)
         for b in batches:
             s = [score(t, auto, weight_of) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])

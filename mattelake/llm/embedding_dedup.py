@@ -35,7 +35,7 @@ from mattelake.llm.components import connected_components, local_stars
 COSINE = 0.98
 DIRECTIONS = 24
 #: Directions that are counted for all pairs of a group, before the rest is counted for those still in reach.
-DENSE = 10
+DENSE = 13
 RECALL = 0.9999
 #: Half-width of a window in standard deviations of a threshold pair's difference along a direction.
 WINDOW = 2.5
@@ -103,7 +103,7 @@ def verified(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, cosine:
     return out
 
 
-def colliding(queries: np.ndarray, members: np.ndarray, cosine: float = COSINE, block: int = 64, tile: int = 2048):
+def colliding(queries: np.ndarray, members: np.ndarray, cosine: float = COSINE, block: int = 128, tile: int = 2048):
     """(query, member) positions of candidate pairs, block by block. Both are plain double vectors.
 
     Blocks and tiles keep the counts of a step within a core's cache.

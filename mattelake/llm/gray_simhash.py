@@ -6,7 +6,7 @@ adds up, level by level, the differing bits among those newly fixed and leaves a
 the sum passes the radius; at the leaves the sum is the Hamming distance, so the result is exact.
 
 Over a cluster the same index has two parts. Its upper part stands over groups of the Gray order, cut
-at quantiles of all distinct fingerprints; it tells for each fingerprint which groups can hold partners.
+at prefixes that follow the quantiles of all distinct fingerprints; it tells for each fingerprint which groups can hold partners.
 Its lower part is built within each group. Equal fingerprints are one node, so copies are no work.
 """
 
@@ -116,11 +116,28 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return wanted.mapInArrow(run, schema)
 
 
+#: Quantiles for each group, from which the prefixes are cut.
+QUANTILES = 4
+
+
 def _bounds(distinct: DataFrame, groups: int) -> np.ndarray:
-    """Upper Gray ranks (as unsigned) that cut all distinct fingerprints into about equal groups."""
-    cut = [k / groups for k in range(1, groups)]
-    got = distinct.agg(F.percentile_approx("rank", cut, 20 * groups)).first()[0] or []
-    return np.unique(np.array(got, np.int64).view(np.uint64) ^ SIGN)
+    """Upper Gray ranks (as unsigned) of groups that are whole prefixes of the rank, split where fingerprints are dense.
+
+    All members of such a group agree in the bits of its prefix, so few other groups are within reach.
+    """
+    cut = [k / (QUANTILES * groups) for k in range(1, QUANTILES * groups)]
+    got = distinct.agg(F.percentile_approx("rank", cut, 20 * QUANTILES * groups)).first()[0] or []
+    points = np.sort(np.array(got, np.int64).view(np.uint64) ^ SIGN)
+    ends, todo = [], [(0, 0, 0, len(points))]
+    while todo:
+        prefix, depth, lo, hi = todo.pop()
+        if hi - lo < 2 * QUANTILES or depth == 48:
+            ends.append(((prefix + 1) << (64 - depth)) - 1)
+            continue
+        middle = ((2 * prefix + 1) << (63 - depth)) - 1
+        at = int(np.searchsorted(points, np.uint64(middle), side="right"))
+        todo += [(2 * prefix, depth + 1, lo, at), (2 * prefix + 1, depth + 1, at, hi)]
+    return np.array(sorted(ends)[:-1], np.uint64)
 
 
 def _group_nodes(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +200,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Documents link when their fingerprints differ in at most ``radius`` bits; component_id is the
     smallest doc_id reachable, itself included. Null, empty and blank texts have fingerprint zero and
     link like others. Repeated rows stay repeated. A null doc_id stays null and is never a
-    component_id unless a whole component has no id. Other columns are ignored; no rows give no rows.
+    component_id unless a whole component has no id. A text of any length is read whole, its shingles in
+    bounded blocks. Other columns are ignored; no rows give no rows.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = materialise(fingerprints(spread(plain)))

@@ -1,14 +1,19 @@
-"""Person boxes: geometry, overlap, and which of them deserve the strong verifier."""
+"""Person boxes: geometry, coverage, overlap, and which of them deserve the strong verifier.
+
+An image's boxes are one array column. What compares boxes of an image works on this array, a row at a
+time, so nothing is exploded, joined or shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mattelake.config import VerifyRules
-from mattelake.functions import scalars
+from mattelake.config import MaskRules, VerifyRules
+from mattelake.operators.kernels import by_row
 
-KEY = ("image_id", "box_idx")
+BOX_TYPE = "struct<x1:int,y1:int,x2:int,y2:int,score:double,coverage:double,center_coverage:double>"
 
 
 def clamp(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
@@ -17,102 +22,182 @@ def clamp(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
     return cut.where("x2 > x1 and y2 > y1")
 
 
-def with_area(boxes: DataFrame) -> DataFrame:
-    """Adds area and relative_area, the share of the image's largest box."""
-    area = ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).cast("long")
-    out = boxes.withColumn("area", area)
-    return out.withColumn("relative_area", F.col("area") / F.greatest(F.lit(1), F.max("area").over(Window.partitionBy("image_id"))))
+def covered(box: dict, others: list[dict]) -> int:
+    """Pixels of a box that the others cover together: the grid of their common parts' edges, cell by cell."""
+    parts = [(max(box["x1"], o["x1"]), max(box["y1"], o["y1"]), min(box["x2"], o["x2"]), min(box["y2"], o["y2"])) for o in others]
+    parts = [p for p in parts if p[2] > p[0] and p[3] > p[1]]
+    if len(parts) < 2:
+        return sum((x2 - x1) * (y2 - y1) for x1, y1, x2, y2 in parts)
+    xs, ys = sorted({x for p in parts for x in p[::2]}), sorted({y for p in parts for y in p[1::2]})
+    hit = np.zeros((len(ys) - 1, len(xs) - 1), bool)
+    at_x, at_y = {x: k for k, x in enumerate(xs)}, {y: k for k, y in enumerate(ys)}
+    for x1, y1, x2, y2 in parts:
+        hit[at_y[y1] : at_y[y2], at_x[x1] : at_x[x2]] = True
+    return int(np.diff(ys) @ hit @ np.diff(xs))
 
 
-def overlap_ratio(boxes: DataFrame, others: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """(key, covered): pixels of each box that other boxes of its image cover, by a sweep over x.
+CHOSEN = f"chosen array<{BOX_TYPE[:-1]},area:bigint,relative_area:double,covered:bigint,branch:string,keep:boolean>>, kept bigint, filtered bigint, filter_details array<string>, human_triggers array<string>"
 
-    The pieces are joined on the image with the overlap as range condition, cut at every distinct x edge
-    of the box, and merged along y within a slab by a running maximum. Boxes without a piece are absent.
-    """
-    a, b = boxes.alias("a"), others.alias("b")
-    meets = (F.col("b.x1") < F.col("a.x2")) & (F.col("b.x2") > F.col("a.x1")) & (F.col("b.y1") < F.col("a.y2")) & (F.col("b.y2") > F.col("a.y1"))
-    other = F.col("a.box_idx") != F.col("b.box_idx")
-    parts = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & other & meets).select(
-        *[F.col(f"a.{k}").alias(k) for k in key],
-        F.greatest("a.x1", "b.x1").alias("px1"), F.least("a.x2", "b.x2").alias("px2"),
-        F.greatest("a.y1", "b.y1").alias("py1"), F.least("a.y2", "b.y2").alias("py2"),
-    )
-    edges = parts.select(*key, F.explode(F.array("px1", "px2")).alias("x")).distinct()
-    slabs = edges.withColumn("x_next", F.lead("x").over(Window.partitionBy(*key).orderBy("x"))).where("x_next is not null")
-    inside = slabs.join(parts, list(key)).where("px1 <= x and px2 >= x_next")
-    reach = F.max("py2").over(Window.partitionBy(*key, "x").orderBy("py1", "py2").rowsBetween(Window.unboundedPreceding, -1))
-    gain = F.greatest(F.lit(0), F.col("py2") - F.greatest(F.col("py1"), F.coalesce(F.col("reach"), F.col("py1"))))
-    return inside.withColumn("reach", reach).groupBy(*key).agg(F.sum(gain * (F.col("x_next") - F.col("x"))).cast("long").alias("covered"))
-
-
-def select_prompts(boxes: DataFrame, rules: VerifyRules = VerifyRules()) -> DataFrame:
-    """Adds area, relative_area, covered, supported, duplicate, partial, significant, keep and branch.
-
-    A score not given counts as 1, a coverage not given as 0.
+
+def choose(found: list[dict] | None, rules: VerifyRules = VerifyRules(), people: int | None = None) -> dict:
+    """``CHOSEN`` of one image: its boxes in order, which of them deserve the strong verifier, and what speaks for it.
+
+    A score not given counts as 1, a coverage not given as 0. ``covered`` counts the other supported boxes.
+    Triggers come in box order, the shared one last. Without boxes every one of ``people`` counts as kept and
+    uncovered.
     """
     r = rules
-    full = boxes.withColumns({"score": F.coalesce("score", F.lit(1.0)), "coverage": F.coalesce("coverage", F.lit(0.0)), "center_coverage": F.coalesce("center_coverage", F.lit(0.0))})
-    sized = with_area(full).withColumn("confident", F.col("score") >= r.prompt_confidence)
-    sized = sized.withColumn("supported", (F.col("coverage") >= r.box_coverage) | (F.col("center_coverage") >= r.center_coverage))
-    covered = overlap_ratio(sized.select(*KEY, "x1", "y1", "x2", "y2"), sized.where("supported").select(*KEY, "x1", "y1", "x2", "y2"))
-    out = sized.join(covered, list(KEY), "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
-    low = r.box_coverage * 0.55
-    rel, cov, mid = F.col("relative_area"), F.col("coverage"), F.col("center_coverage")
-    out = out.withColumns(
-        {
-            "duplicate": (F.col("covered") / F.greatest(F.col("area"), F.lit(1)) >= r.overlap) & (cov < low),
-            "partial": (rel + 1e-9 >= r.min_relative_area * 0.75) & (cov >= r.box_coverage * 0.2) & (mid < r.center_coverage * 0.27),
-            "significant": rel >= r.min_relative_area,
-        }
-    )
-    branch = (
-        F.when(~F.col("confident"), "low_score").when(F.col("supported"), "supported").when(F.col("duplicate"), "duplicate")
-        .when(F.col("partial"), "partial").when(F.col("significant"), "significant").otherwise("small")
-    )
-    return out.withColumn("branch", branch).withColumn("keep", F.col("branch").isin("supported", "partial", "significant"))
-
-
-def human_triggers(selected: DataFrame, rules: VerifyRules = VerifyRules()) -> DataFrame:
-    """One row per image with kept boxes: kept, filtered, triggers in box order, the shared one last."""
-    own = F.when(F.col("keep"), scalars.flags((F.col("coverage") < rules.box_coverage, "person_box_coverage"), (F.col("center_coverage") < rules.center_coverage, "person_center_coverage")))
-    # An image's boxes are few; the list holds two names a box at most.
-    rows = selected.groupBy("image_id").agg(
-        F.count_if("keep").alias("kept"),
-        F.count_if(~F.col("keep")).alias("filtered"),
-        F.array_sort(F.collect_list(F.struct("box_idx", own.alias("names")))).alias("_own"),
-        F.min(F.when(F.col("keep"), F.col("coverage"))).alias("_least"),
-    )
-    many = scalars.flags(((F.col("kept") > 1) & (F.col("_least") < rules.multi_coverage), "multiple_people_coverage"))
-    lists = F.flatten(F.transform("_own", lambda x: F.coalesce(x["names"], F.array().cast("array<string>"))))
-    return rows.where("kept > 0").select("image_id", "kept", "filtered", scalars.distinct_in_order(lists, many).alias("human_triggers"))
-
-
-def coverage(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(image_id, box_idx, coverage, center_coverage): share of set pixels in each box and in its middle.
-
-    pixels (image_id, y, x, on) joins the boxes on the image with a range condition. The middle leaves out
-    22 % of the width and 10 % of the height on each side.
+    default = {"score": 1.0, "coverage": 0.0, "center_coverage": 0.0}
+    full = [b | {k: v for k, v in default.items() if b.get(k) is None} for b in found or []]
+    for b in full:
+        b["area"] = max(0, b["x2"] - b["x1"]) * max(0, b["y2"] - b["y1"])
+    most = max([1, *(b["area"] for b in full)])
+    supported = [b["coverage"] >= r.box_coverage or b["center_coverage"] >= r.center_coverage for b in full]
+    details, triggers = [], []
+    for k, b in enumerate(full):
+        b["relative_area"] = b["area"] / most
+        b["covered"] = covered(b, [o for j, o in enumerate(full) if j != k and supported[j]])
+        share = b["covered"] / max(1, b["area"])
+        if b["score"] < r.prompt_confidence:
+            b["branch"] = "low_score"
+        elif supported[k]:
+            b["branch"] = "supported"
+        elif share >= r.overlap and b["coverage"] < r.box_coverage * 0.55:
+            b["branch"] = "duplicate"
+        elif b["relative_area"] + 1e-9 >= r.min_relative_area * 0.75 and b["coverage"] >= r.box_coverage * 0.2 and b["center_coverage"] < r.center_coverage * 0.27:
+            b["branch"] = "partial"
+        else:
+            b["branch"] = "significant" if b["relative_area"] >= r.min_relative_area else "small"
+        b["keep"] = b["branch"] in ("supported", "partial", "significant")
+        if b["branch"] == "low_score":
+            details.append(f"person {k + 1}: detector confidence {b['score']:.3f} below prompt threshold")
+        elif not b["keep"]:
+            details.append(f"person {k + 1}: low-value prompt (relative area={b['relative_area']:.3f}, overlap={share:.3f}, coverage={b['coverage']:.3f})")
+        else:
+            triggers += ["person_box_coverage"] * (b["coverage"] < r.box_coverage) + ["person_center_coverage"] * (b["center_coverage"] < r.center_coverage)
+    kept = [b for b in full if b["keep"]]
+    if len(kept) > 1 and any(b["coverage"] < r.multi_coverage for b in kept):
+        triggers.append("multiple_people_coverage")
+    if not full and people:
+        triggers = ["person_box_coverage", "person_center_coverage"]
+    return {"chosen": full, "kept": len(kept) if full else people or 0, "filtered": len(full) - len(kept), "filter_details": details, "human_triggers": list(dict.fromkeys(triggers))}
+
+
+def select_prompts(images: DataFrame, rules: VerifyRules = VerifyRules(), boxes: str = "boxes") -> DataFrame:
+    """images with ``CHOSEN``, of their boxes (an array) and person_count where that is given."""
+    return by_row(images, CHOSEN, lambda row: choose(row[boxes], rules, row.get("person_count")), together=4096)
+
+
+def coverage(mask: np.ndarray, found: list[dict], rules: MaskRules = MaskRules()) -> tuple[list[dict], int, int]:
+    """Detections of one image as (boxes, missing, uncertain).
+
+    Only people (label 1 where a label is given) of enough confidence stay; boxes are rounded half to even
+    and cut to the frame. coverage is the foreground's share of a box, center_coverage that of its middle,
+    which leaves out 22 % of the width and 10 % of the height on each side.
+    """
+    h, w = mask.shape
+    # A summed-area table answers every box in four reads.
+    table = np.zeros((h + 1, w + 1), np.int64)
+    np.cumsum(np.cumsum(mask >= rules.foreground, axis=0), axis=1, out=table[1:, 1:])
+
+    def share(x1: int, y1: int, x2: int, y2: int) -> float:
+        if x2 <= x1 or y2 <= y1:
+            return 0.0
+        return float(table[y2, x2] - table[y1, x2] - table[y2, x1] + table[y1, x1]) / ((x2 - x1) * (y2 - y1))
+
+    out, missing, uncertain = [], 0, 0
+    for b in found:
+        score = 1.0 if b.get("score") is None else float(b["score"])
+        if b.get("label", 1) != 1 or score < rules.person_confidence:
+            continue
+        x1, y1, x2, y2 = (int(np.rint(b[k])) for k in ("x1", "y1", "x2", "y2"))
+        x1, y1, x2, y2 = max(0, x1), max(0, y1), min(w, x2), min(h, y2)
+        if x2 <= x1 or y2 <= y1:
+            continue
+        mx, my = int((x2 - x1) * 0.22), int((y2 - y1) * 0.10)
+        whole, middle = share(x1, y1, x2, y2), share(x1 + mx, y1 + my, x2 - mx, y2 - my)
+        if whole < rules.min_person_coverage or middle < rules.min_person_center:
+            missing += 1
+        elif whole < rules.min_person_coverage * 1.35:
+            uncertain += 1
+        out.append({"x1": x1, "y1": y1, "x2": x2, "y2": y2, "score": score, "coverage": whole, "center_coverage": middle})
+    return out, missing, uncertain
+
+
+def plane(row: dict, name: str) -> np.ndarray:
+    """A mask column, bytes or an array of ints, as (height, width)."""
+    v = row[name]
+    return (np.frombuffer(v, np.uint8) if isinstance(v, bytes) else np.array(v)).reshape(row["height"], row["width"])
+
+
+def measured(images: DataFrame, found: str = "found", mask: str = "mask", rules: MaskRules = MaskRules()) -> DataFrame:
+    """images (height, width, a mask, detections as array of structs) with boxes, missing and uncertain by ``coverage``."""
+
+    def work(row: dict) -> dict:
+        kept, missing, uncertain = coverage(plane(row, mask), row[found] or [], rules)
+        return {"boxes": kept, "missing": missing, "uncertain": uncertain}
+
+    return by_row(images, f"boxes array<{BOX_TYPE}>, missing int, uncertain int", work)
+
+
+VERDICT = "ran boolean, checked_people int, reasons array<string>, details array<string>, min_recall double, min_iou double"
+
+
+def confirmed(images: DataFrame, prompts: str = "prompts", masks: str = "masks", scores: str = "scores", mask: str = "mask", rules: VerifyRules = VerifyRules()) -> DataFrame:
+    """images with ``VERDICT`` by ``confirm``: prompts as array of structs, a mask (array of ints) and a score for each."""
+
+    def work(row: dict) -> dict:
+        size = row["height"], row["width"]
+        own = [np.array(m).reshape(size) > 0 for m in row[masks]]
+        return confirm(plane(row, mask), [b | {"person": k} for k, b in enumerate(row[prompts])], own, row[scores], rules)
+
+    return by_row(images, VERDICT, work)
+
+
+def ellipse_rows(radius: int) -> list[int]:
+    """Half-widths of the rows, from top to bottom, of the ellipse of this radius in a square of 2 r + 1."""
+    return [int(np.rint(radius * np.sqrt((radius * radius - dy * dy) / (radius * radius)))) for dy in range(-radius, radius + 1)]
+
+
+def erode(mask: np.ndarray, radius: int) -> np.ndarray:
+    """Pixels whose whole ellipse is set; beyond the frame counts as set."""
+    h, w = mask.shape
+    gaps = np.zeros((h + 2 * radius, w + 2 * radius + 1), np.int64)
+    gaps[radius : radius + h, radius + 1 : radius + 1 + w] = ~mask
+    gaps = gaps.cumsum(axis=1)
+    out = np.ones((h, w), bool)
+    for k, half in enumerate(ellipse_rows(radius)):
+        rows = gaps[k : k + h]
+        out &= rows[:, radius + half + 1 : radius + half + 1 + w] == rows[:, radius - half : radius - half + w]
+    return out
+
+
+def confirm(mask: np.ndarray, prompts: list[dict], masks: list[np.ndarray], scores: list[float], rules: VerifyRules = VerifyRules(), people: int | None = None) -> dict:
+    """The strong check of one image: prompts (boxes with ``person``, counted from 0) against the verifier's masks.
+
+    Masks of too little confidence, and empty ones, are not checked. A person's core is the mask within the
+    box, eroded by the boundary tolerance, or the whole of it where nothing would be left.
     """
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    mx, my = F.floor(w * 0.22).cast("int"), F.floor(h * 0.10).cast("int")
-    within = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
-    middle = (F.col("x") >= F.col("x1") + mx) & (F.col("x") < F.col("x2") - mx) & (F.col("y") >= F.col("y1") + my) & (F.col("y") < F.col("y2") - my)
-    joined = boxes.join(pixels, "image_id").where(within)
-    got = joined.groupBy("image_id", "box_idx").agg(F.avg(F.col("on").cast("int")).alias("coverage"), F.avg(F.when(middle, F.col("on").cast("int"))).alias("center_coverage"))
-    return got.withColumn("center_coverage", F.coalesce("center_coverage", F.lit(0.0)))
-
-
-def mask_recall(pixels: DataFrame, rules: VerifyRules = VerifyRules()) -> DataFrame:
-    """pixels (image_id, box_idx, reference, candidate) in a box -> recall, iou, missing_ratio, missing."""
-    r, c = F.col("reference"), F.col("candidate")
-    got = pixels.groupBy("image_id", "box_idx").agg(F.count_if(r).alias("core"), F.count_if(r & c).alias("hit"), F.count_if(r | c).alias("either"), F.count("*").alias("inside"))
-    out = got.withColumns({"recall": scalars.share(F.col("hit"), F.col("core")), "iou": scalars.share(F.col("hit"), F.col("either")), "missing_ratio": scalars.share(F.col("core") - F.col("hit"), F.col("inside"))})
-    return out.where("core > 0").withColumn("missing", (F.col("recall") < rules.min_recall) & (F.col("missing_ratio") >= rules.min_missing))
-
-
-def verdict(people: DataFrame) -> DataFrame:
-    """Per image: checked_people, missing_count, min_recall, min_iou and the reasons of a failed check."""
-    got = people.groupBy("image_id").agg(F.count("*").alias("checked_people"), F.count_if("missing").alias("missing_count"), F.min("recall").alias("min_recall"), F.min("iou").alias("min_iou"))
-    some = F.col("missing_count") > 0
-    return got.withColumn("reasons", scalars.flags((some, "missing_body_part"), (some, "human_mask_disagreement"), (some & (F.col("checked_people") > 1), "multiple_people_uncertain")))
+    candidate = mask >= rules.alpha_threshold
+    radius = max(1, round(min(mask.shape) * rules.boundary))
+    recalls, ious, details, missing = [], [], [], 0
+    for k, (b, own) in enumerate(zip(prompts, masks)):
+        if (float(scores[k]) if k < len(scores) else 0.0) < rules.mask_confidence:
+            continue
+        at = np.s_[b["y1"] : b["y2"], b["x1"] : b["x2"]]
+        local, have = np.asarray(own, bool)[at], candidate[at]
+        if not local.any():
+            continue
+        core = erode(local, radius)
+        core = core if core.any() else local
+        hit, size = int((core & have).sum()), int(core.sum())
+        recall, gap = hit / max(1, size), (size - hit) / max(1, core.size)
+        recalls.append(recall)
+        ious.append(hit / max(1, int((core | have).sum())))
+        if recall < rules.min_recall and gap >= rules.min_missing:
+            missing += 1
+            details.append(f"person {b['person'] + 1}: SAM recall={recall:.3f}, missing box ratio={gap:.3f}")
+    reasons = ["missing_body_part", "human_mask_disagreement"] if missing else []
+    if missing and (len(prompts) if people is None else people) > 1:
+        reasons.append("multiple_people_uncertain")
+    return {"ran": bool(prompts), "checked_people": len(recalls), "reasons": reasons, "details": details, "min_recall": min(recalls, default=None), "min_iou": min(ious, default=None)}

@@ -19,19 +19,25 @@ def checker(height: int, width: int, cell: int = 16, light: int = 230, dark: int
     return np.where((y + x) % 2, dark, light).astype(np.uint8)
 
 
-def resize(img: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area average where it shrinks, bilinear where it grows; each axis by a weight table."""
+def resample(img: np.ndarray, height: int, width: int) -> np.ndarray:
+    """8-bit samples scaled by the windowed sinc of three lobes (Lanczos), widened where the image shrinks; columns first."""
 
     def weights(n: int, m: int) -> np.ndarray:
         ratio = n / m
-        centre = (np.arange(m) + 0.5) * ratio
-        reach = max(1.0, ratio)
-        w = np.maximum(0, 1 - np.abs((np.arange(n) + 0.5)[None] - centre[:, None]) / reach)
+        spread = max(1.0, ratio)
+        x = (np.arange(n)[None] + 0.5 - (np.arange(m) + 0.5)[:, None] * ratio) / spread
+        w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)
         return w / w.sum(axis=1, keepdims=True)
 
-    out = np.tensordot(weights(img.shape[0], height), img.astype(float), axes=(1, 0))
-    out = np.moveaxis(np.tensordot(weights(img.shape[1], width), out, axes=(1, 1)), 0, 1)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    out = img.astype(float)
+    for axis, size in ((1, width), (0, height)):
+        if out.shape[axis] != size:
+            out = np.moveaxis(np.tensordot(weights(out.shape[axis], size), out, axes=(1, axis)), 0, axis)
+            out = np.clip(np.floor(out + 0.5), 0, 255)
+    return out.astype(np.uint8)
+
+
+resize = resample
 
 
 def letterbox(img: np.ndarray, box_h: int, box_w: int, fill: int = 255) -> np.ndarray:
@@ -51,31 +57,54 @@ def rgba(rgb: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     return np.dstack([rgb, alpha])
 
 
+# The colour of heat maps and the two of the contrast canvas.
+HEAT, CONTRAST = (255, 43, 89), ((255, 0, 168), (0, 214, 255))
+
+
 def heat_overlay(rgb: np.ndarray, heat: np.ndarray, strength: float = 0.72) -> np.ndarray:
-    """Tints a picture red by a heat map from 0 to 1."""
-    share = np.clip(heat, 0, 1)[..., None] * strength
-    return np.rint(rgb * (1 - share) + np.array([255, 32, 0]) * share).astype(np.uint8)
+    """Tints a picture by a heat map from 0 to 1 of any size."""
+    scaled = np.clip(heat * 255, 0, 255).astype(np.uint8)
+    full = scaled if scaled.shape == rgb.shape[:2] else resample(scaled, *rgb.shape[:2])
+    share = np.rint(full * strength)[..., None] / 255
+    return np.rint(rgb * (1 - share) + np.array(HEAT) * share).astype(np.uint8)
+
+
+def contrast(height: int, width: int) -> np.ndarray:
+    """Coloured squares of a twelfth of the shorter side, 16 pixels at least."""
+    cell = max(16, min(height, width) // 12)
+    y, x = np.indices((height, width)) // cell
+    return np.where(((y + x) % 2 == 1)[..., None], CONTRAST[1], CONTRAST[0]).astype(np.uint8)
+
+
+def strip(rgb: np.ndarray, alpha: np.ndarray, side: int = 320, cutout: np.ndarray | None = None, heat: np.ndarray | None = None) -> np.ndarray:
+    """Preview panels side by side: the original, the cut-out on white, grey, black and contrast, and the heat map if given."""
+    a, fore = alpha[..., None] / 255, rgb if cutout is None else cutout
+    canvases = [np.full(rgb.shape, v, np.uint8) for v in (255, 136, 0)] + [contrast(*alpha.shape)]
+    panels = [rgb] + [np.rint(fore * a + c * (1 - a)).astype(np.uint8) for c in canvases]
+    panels += [] if heat is None else [heat_overlay(rgb, heat)]
+    return np.concatenate([letterbox(p, side, side, 238) for p in panels], axis=1)
 
 
-def strip(rgb: np.ndarray, alpha: np.ndarray, side: int = 320) -> np.ndarray:
-    """Preview panels side by side: the original, then white, grey, black and checker canvases."""
-    a = alpha[..., None] / 255
-    canvases = [np.full(rgb.shape, v, np.uint8) for v in (255, 128, 0)] + [np.repeat(checker(*alpha.shape)[..., None], 3, axis=2)]
-    panels = [rgb] + [np.rint(rgb * a + c * (1 - a)).astype(np.uint8) for c in canvases]
-    return np.concatenate([letterbox(p, side, side) for p in panels], axis=1)
+#: Alpha under which corrections fade out and the division stops.
+PROTECTED = 0.12
 
 
-def decontaminate(color: Column, background: Column, alpha: Column, strength: float = 0.85) -> Column:
-    """Foreground sample under C = aF + (1 - a)B, blended in by how translucent the pixel is; alpha from 0 to 1."""
-    pure = scalars.clip((color - (1 - alpha) * background) / F.greatest(alpha, F.lit(1e-3)), 0.0, 255.0)
-    mix = F.lit(strength) * (1 - alpha) * scalars.clip(alpha / 0.12)
-    return F.rint(color + mix * (pure - color)).cast("int")
+def decontaminate(color: Column, background: Column, alpha: Column, strength: float = 0.85) -> tuple[Column, Column]:
+    """(corrected sample, estimate before clipping) under C = aF + (1 - a)B; samples and alpha from 0 to 1."""
+    estimate = (color - (1 - alpha) * background) / F.greatest(alpha, F.lit(PROTECTED))
+    mix = F.lit(strength) * (1 - alpha) * scalars.clip(alpha / PROTECTED)
+    return color * (1 - mix) + scalars.clip(estimate) * mix, estimate
 
 
 def correction_metrics(pixels: DataFrame, low: int = 8, high: int = 247) -> DataFrame:
-    """pixels (image_id, alpha, before, after) -> per image mean, p95 and clipped share of the correction at edge pixels."""
-    edge = pixels.where(F.col("alpha").between(low, high)).withColumn("moved", F.abs(F.col("after") - F.col("before")))
+    """pixels (image_id, alpha, before, after, estimate: arrays of channels from 0 to 1) -> how far edge pixels move.
+
+    A pixel's magnitude is the length of its move over all channels, of the longest one possible. It counts
+    as clipped where any channel's estimate lies outside 0 to 1.
+    """
+    square = F.aggregate(F.zip_with("before", "after", lambda b, a: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    outside = F.exists("estimate", lambda e: (e < 0) | (e > 1))
+    edge = pixels.where(F.col("alpha").between(low, high)).select("image_id", (F.sqrt(square) / F.sqrt(F.size("before").cast("double"))).alias("moved"), outside.cast("int").alias("clipped"))
     return edge.groupBy("image_id").agg(
-        F.count("*").alias("edge_pixels"), F.round(F.avg("moved"), 6).alias("mean_correction"), F.round(F.percentile("moved", 0.95), 6).alias("p95_correction"),
-        F.round(F.avg(F.col("after").isin(0, 255).cast("int")), 6).alias("clipped_ratio"),
+        F.count("*").alias("edge_pixels"), F.round(F.avg("moved"), 6).alias("mean_correction"), F.round(F.percentile("moved", 0.95), 6).alias("p95_correction"), F.round(F.avg("clipped"), 6).alias("clipped_ratio"),
     )

@@ -19,7 +19,7 @@ def edge_flags(rules: EdgeRules = EdgeRules()) -> Column:
     return scalars.flags(
         (F.col("residual") >= r.weak_residual, "residual_background_color"),
         (F.col("loose") >= r.weak_loose, "loose_edge_noise"),
-        (F.col("compact") >= r.weak_local, "compact_edge_damage"),
+        (F.col("compact") >= r.weak_local, "overcut_compact_structure"),
         (F.col("hair") >= r.weak_local, "weak_hair_edge"),
         (F.col("instability") >= r.weak_local, "local_alpha_instability"),
         ((F.col("residual") >= r.weak_residual) & (F.col("loose") >= r.weak_loose * 0.8), "semantic_edge_anomaly"),
@@ -28,7 +28,7 @@ def edge_flags(rules: EdgeRules = EdgeRules()) -> Column:
 
 def edge_severity(scores: DataFrame, rules: EdgeRules = EdgeRules()) -> DataFrame:
     """scores (the columns of SCORES, edge_pixels, semantic_relevant) with flags, severity, edge_hard,
-    edge_weak and edge_telemetry.
+    edge_hard_details, edge_weak and edge_telemetry.
 
     semantic_relevant is three-valued: null counts as relevant. Too few edge pixels decide nothing.
     """
@@ -49,29 +49,36 @@ def edge_severity(scores: DataFrame, rules: EdgeRules = EdgeRules()) -> DataFram
         {
             "edge_hard": F.when(hard, F.array(F.lit("edge_artifact"))).otherwise(none),
             "edge_weak": F.when(soft, weak).otherwise(none),
-            "edge_telemetry": scalars.flags((small, "artifact_edge_sample_too_small"), (~small & F.coalesce(hushed, F.lit(False)), "artifact_semantic_suppression")),
+            "edge_hard_details": F.when(hard & spread, F.array(F.format_string("background-colour residual and locally loose edge agree (residual=%.3f, loose=%.3f)", "chromatic", "loose")))
+            .when(hard, F.array(F.format_string("compact edge damage and local alpha instability agree (compact=%.3f, alpha=%.3f)", "compact", "instability")))
+            .otherwise(none),
+            "edge_telemetry": scalars.flags((small, "artifact_edge_sample_too_small"), (severity == "telemetry", "artifact_signal_observed"), (~small & F.coalesce(hushed, F.lit(False)), "artifact_semantic_suppression")),
         }
     )
 
 
 def verifier_wanted(enabled: bool = True) -> Column:
-    """Whether the strong verifier is to look: people there, prompts left, a trigger, nothing hard yet."""
+    """Whether the strong verifier is to look: people there, prompts left, a trigger of the mask or of a person, nothing hard yet."""
     hard = F.size(_names("hard_reasons")) + F.size(_names("edge_hard"))
-    return F.lit(enabled) & (hard == 0) & (F.col("person_count") > 0) & (F.col("kept") > 0) & (F.size(_names("human_triggers")) > 0)
+    weak = F.size(_names("triggers")) + F.size(_names("human_triggers"))
+    return F.lit(enabled) & (hard == 0) & (F.col("person_count") > 0) & (F.col("kept") > 0) & (weak > 0)
 
 
 def escalate(images: DataFrame, has_verifier: bool = True, enabled: bool = True) -> DataFrame:
-    """Adds requested, sam_result, final_reasons, status, all_triggers and telemetry.
+    """Adds requested, sam_result, final_reasons, final_details, status, all_triggers and telemetry.
 
     images: hard_reasons, triggers, qc_telemetry, edge_hard, edge_weak, edge_telemetry, person_count, kept,
-    human_triggers, and of the verifier ran, checked_people, reasons, sam_error (null where not called);
-    error is set where an image could not be processed, which is FAILED whatever else holds.
+    human_triggers, of the verifier ran, checked_people, reasons, sam_error (null where not called), and
+    where given hard_details, edge_hard_details and the verifier's details; error is set where an image
+    could not be processed, which is FAILED whatever else holds.
     """
+    listed = lambda c: _names(c) if c in images.columns else F.array().cast("array<string>")
     hard = scalars.distinct_in_order(_names("hard_reasons"), _names("edge_hard"))
     every = scalars.distinct_in_order(_names("triggers"), _names("human_triggers"))
-    out = images.withColumn("_hard", hard).withColumn("all_triggers", every).withColumn("requested", verifier_wanted(enabled))
+    out = images.withColumn("_hard", hard).withColumn("all_triggers", every).withColumn("requested", F.coalesce(verifier_wanted(enabled), F.lit(False)))
     is_hard, asked = F.size("_hard") > 0, F.col("requested")
-    short = ~F.coalesce("ran", F.lit(False)) | (F.coalesce("checked_people", F.lit(0)) < F.col("kept"))
+    checked = F.coalesce("checked_people", F.lit(0))
+    short = ~F.coalesce("ran", F.lit(False)) | (checked < F.col("kept"))
     result = (
         F.when(is_hard, "hard_review")
         .when(asked & F.lit(not has_verifier), "unavailable")
@@ -84,12 +91,21 @@ def escalate(images: DataFrame, has_verifier: bool = True, enabled: bool = True)
     )
     out = out.withColumn("sam_result", result)
     unsure = F.col("sam_result").isin("error", "incomplete", "unavailable")
-    found = F.when(F.col("sam_result").isin("incomplete", "disagreement"), _names("reasons")).otherwise(F.array().cast("array<string>"))
-    out = out.withColumn("final_reasons", scalars.distinct_in_order(F.col("_hard"), found, scalars.flags((unsure, "low_confidence"))))
+    said = F.col("sam_result").isin("incomplete", "disagreement")
+    none = F.array().cast("array<string>")
+    # Doubt comes before what the verifier itself found.
+    out = out.withColumn("final_reasons", scalars.distinct_in_order(F.col("_hard"), scalars.flags((unsure, "low_confidence")), F.when(said, _names("reasons")).otherwise(none)))
+    why = (
+        F.when(F.col("sam_result") == "error", "strong verifier failed on a suspicious result")
+        .when((F.col("sam_result") == "unavailable") & asked, "strong verifier is unavailable for a suspicious result")
+        .when(F.col("sam_result") == "unavailable", "strong verification could not be requested for a suspicious result")
+        .when(F.col("sam_result") == "incomplete", F.concat(F.lit("strong verification did not evaluate every requested person prompt ("), checked.cast("string"), F.lit("/"), F.col("kept").cast("string"), F.lit(")")))
+    )
+    details = F.array_compact(F.concat(listed("hard_details"), listed("edge_hard_details"), F.array(why), F.when(said, listed("details")).otherwise(none)))
     telemetry = scalars.distinct_in_order(
         _names("qc_telemetry"), _names("edge_telemetry"),
         F.transform(_names("edge_weak"), lambda w: F.concat(F.lit("artifact:"), w)),
         scalars.flags((F.coalesce("person_count", F.lit(0)) == 0, "person_detector_zero")),
     )
     status = F.when(F.col("error").isNotNull(), "FAILED").when(F.size("final_reasons") == 0, "READY").otherwise("REVIEW")
-    return out.withColumn("telemetry", telemetry).withColumn("status", status).drop("_hard")
+    return out.withColumns({"telemetry": telemetry, "final_details": details, "status": status}).drop("_hard")

@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mattelake.config import EdgeRules
-from mattelake.operators.regions import speckle_count
+from mattelake.operators.compose import resample
+from mattelake.operators.kernels import by_row
+from mattelake.operators.regions import speckles
 from mattelake.schemas import SCORES, extend
 
 GREY = np.array([0.299, 0.587, 0.114])
@@ -32,12 +34,27 @@ def gradients(alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _window_sum(alpha, (1, 2, 1), (-1, 0, 1)), _window_sum(alpha, (-1, 0, 1), (1, 2, 1))
 
 
+def deviation(grey: np.ndarray) -> np.ndarray:
+    """Standard deviation in 5 x 5 windows; exact sums where the samples are whole numbers."""
+    ones = (1,) * 5
+    total = _window_sum(grey, ones, ones)
+    return np.sqrt(np.maximum(25 * _window_sum(grey * grey, ones, ones) - total * total, 0)) / 25
+
+
 def texture(rgb: np.ndarray) -> np.ndarray:
     """Standard deviation of grey in 5 x 5 windows."""
-    grey = rgb @ GREY
-    fifth = (0.2,) * 5
-    mean = _window_sum(grey, fifth, fifth)
-    return np.sqrt(np.maximum(_window_sum(grey * grey, fifth, fifth) - mean * mean, 0))
+    return deviation(rgb @ GREY)
+
+
+def stencils(masks: DataFrame, mask: str = "alpha") -> DataFrame:
+    """masks (height, width, an array of 8-bit samples) with gx, gy and deviation of every pixel, and the number of transition pixels."""
+
+    def work(row: dict) -> dict:
+        a = np.array(row[mask], float).reshape(row["height"], row["width"])
+        gx, gy = gradients(a)
+        return {"gx": gx.ravel(), "gy": gy.ravel(), "deviation": deviation(a).ravel(), "transition": len(Rays(a / 255, 1).y)}
+
+    return by_row(masks, "gx array<double>, gy array<double>, deviation array<double>, transition int", work)
 
 
 def dilate(mask: np.ndarray, r: int = 2) -> np.ndarray:
@@ -75,8 +92,11 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1)
 
 
-def score(rgb: np.ndarray, cutout: np.ndarray, alpha: np.ndarray, rules: EdgeRules = EdgeRules()) -> dict:
-    """The ten scores and the edge sample of one image; samples are floats from 0 to 1."""
+def score(rgb: np.ndarray, cutout: np.ndarray, alpha: np.ndarray, rules: EdgeRules = EdgeRules(), heat: np.ndarray | None = None) -> dict:
+    """The ten scores and the edge sample of one image; samples are floats from 0 to 1.
+
+    ``heat``, an array of the image's size, takes up the strength of what was found at every pixel.
+    """
     rays = Rays(alpha, rules.radius)
     ok = rays.valid
     out = dict.fromkeys(SCORES, 0.0) | {"edge_pixels": int(ok.sum())}
@@ -107,7 +127,8 @@ def score(rgb: np.ndarray, cutout: np.ndarray, alpha: np.ndarray, rules: EdgeRul
     if stable.any():
         out["loose"] = float(np.clip((np.percentile(width[stable], 90) - usual) / excess, 0, 1))
     low = (alpha > 0.02) & (alpha < 0.35) & ~dilate(alpha >= 0.5)
-    out["instability"] = min(1.0, speckle_count(low) / out["edge_pixels"] / 0.20)
+    dust = speckles(low)
+    out["instability"] = min(1.0, dust.sum() / out["edge_pixels"] / 0.20)
 
     omitted = np.clip((np.linalg.norm(outer - far, axis=1) - np.linalg.norm(outer - inner, axis=1) - 0.025) / 0.20, 0, 1)
     out["compact"] = float(np.percentile(omitted * np.clip((0.12 - tex) / 0.09, 0, 1), 97))
@@ -116,9 +137,26 @@ def score(rgb: np.ndarray, cutout: np.ndarray, alpha: np.ndarray, rules: EdgeRul
     joint = tinted & (width >= excess) & (tex < 0.045)
     out["agreement"] = min(1.0, joint.sum() / max(1, tinted.sum()) / 0.02)
     out["total"] = max(out["semantic"], 0.72 * out["residual"], 0.72 * out["loose"], 0.60 * out["compact"], 0.55 * out["hair"], 0.60 * out["instability"])
+    if heat is not None:
+        at = rays.y[ok], rays.x[ok]
+        heat[at] = np.clip(np.maximum(seen, np.abs(shift) * a) / 0.12, 0, 1)
+        heat[at] = np.maximum(heat[at], np.where(stable, np.clip((width - usual) / excess, 0, 1), 0))
+        heat[dust] = 1
     return {k: v if k == "edge_pixels" else float(v) for k, v in out.items()}
 
 
+def analysed(rgb: np.ndarray, cutout: np.ndarray, mask: np.ndarray, rules: EdgeRules = EdgeRules(), heat: bool = False) -> tuple[dict, np.ndarray | None]:
+    """``score`` of 8-bit planes, scaled down to ``analysis_size`` first; and the heat map at that size if asked for."""
+    if rgb.shape != cutout.shape or rgb.shape[:2] != mask.shape:
+        raise ValueError("image and cut-out differ in size")
+    h, w = mask.shape
+    k = min(1.0, rules.analysis_size / max(h, w))
+    size = max(1, round(h * k)), max(1, round(w * k))
+    planes = [p if size == (h, w) else resample(p, *size) for p in (rgb, cutout, mask)]
+    hot = np.zeros(size) if heat else None
+    return score(*(p / 255 for p in planes), rules, hot), hot
+
+
 DIAGNOSTICS = ("raw_share", "tint_share", "seen_p99", "width_p90", "joint_share", "joint_of_tint", "smooth_joint_of_tint")
 
 
@@ -166,7 +204,7 @@ def artifact_diagnostics(images: DataFrame, radius: int = 16) -> DataFrame:
 
 
 def artifact_scores(images: DataFrame, rules: EdgeRules = EdgeRules()) -> DataFrame:
-    """images (height, width, rgb, cutout as 3 bytes a pixel, mask as 1) with SCORES and edge_pixels.
+    """images (height, width, rgb, cutout as 3 bytes a pixel, mask as 1) with SCORES and edge_pixels, at the analysis size.
 
     Sizes that do not fit, or nulls, give null scores and the reason in score_error; the run goes on.
     """
@@ -178,8 +216,8 @@ def artifact_scores(images: DataFrame, rules: EdgeRules = EdgeRules()) -> DataFr
                 row = b.slice(k, 1)
                 h, w = row.column("height")[0].as_py(), row.column("width")[0].as_py()
                 try:
-                    planes = [np.frombuffer(row.column(c)[0].as_py(), np.uint8).reshape(h, w, -1) / 255 for c in ("rgb", "cutout", "mask")]
-                    got, why = score(planes[0], planes[1], planes[2][..., 0], rules), None
+                    planes = [np.frombuffer(row.column(c)[0].as_py(), np.uint8).reshape(h, w, -1) for c in ("rgb", "cutout", "mask")]
+                    got, why = analysed(planes[0], planes[1], planes[2][..., 0], rules)[0], None
                 except (TypeError, ValueError) as e:
                     got, why = dict.fromkeys((*SCORES, "edge_pixels")), str(e)
                 cols = [pa.array([got[s]], pa.float64()) for s in SCORES]

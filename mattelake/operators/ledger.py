@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from mattelake.functions import scalars
 
 
+#: Keys that may be broadcast; at 200 bytes each they take 20 MB.
+BROADCAST_ROWS = 100_000
+
+
 def last_rows(rows: DataFrame, key: str, position: str) -> DataFrame:
     """The last row of each non-blank key, with first_position: where the key came first."""
     whole = F.struct(*[F.col(c) for c in rows.columns])
@@ -30,8 +34,14 @@ def with_fingerprint(rows: DataFrame, fingerprint: str | None) -> DataFrame:
 
 
 def pending(sources: DataFrame, done: DataFrame, key: str = "source_file") -> DataFrame:
-    """Sources not done yet; decided before any image is decoded."""
-    return sources.join(done.select(key), key, "left_anti")
+    """Sources not done yet; decided before any image is decoded.
+
+    Keys of up to ``BROADCAST_ROWS`` done sources are sent to the executors, so the sources stay where they
+    are; beyond that both sides are dealt by key.
+    """
+    keys = done.select(key).distinct()
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return sources.join(F.broadcast(keys) if few else keys, key, "left_anti")
 
 
 def merge(resumed: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -58,6 +68,7 @@ def summary(rows: DataFrame) -> DataFrame:
     t = scalars.number(F.col("processing_time").cast("string"))
     asked, ran = scalars.truthy(F.col("sam_requested").cast("string")), scalars.truthy(F.col("sam_ran").cast("string"))
     n = F.count("*")
+    errors = F.count_if(F.coalesce(F.col("sam_error"), F.lit("")) != "") if "sam_error" in rows.columns else F.lit(0).cast("long")
     return rows.agg(
         n.alias("total"),
         *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("READY", "REVIEW", "FAILED")],
@@ -68,6 +79,7 @@ def summary(rows: DataFrame) -> DataFrame:
         F.count_if(asked).alias("sam_requests"),
         F.count_if(ran).alias("sam_runs"),
         F.round(F.count_if(ran) * 100.0 / F.greatest(n, F.lit(1)), 6).alias("sam_percent"),
+        errors.alias("sam_errors"),
     )
 
 

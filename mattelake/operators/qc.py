@@ -40,7 +40,7 @@ MEASURES = (
 )
 
 
-def _measured(a: np.ndarray, rules: MaskRules) -> dict:
+def measured(a: np.ndarray, rules: MaskRules) -> dict:
     h, w = a.shape
     on, solid = a >= rules.foreground, a >= rules.solid
     size, area = max(2, int(min(h, w) * rules.band)), int(on.sum())
@@ -64,7 +64,7 @@ def measure_bytes(masks: DataFrame, rules: MaskRules = MaskRules(), mask: str =
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
                 h, w = row.column("height")[0].as_py(), row.column("width")[0].as_py()
-                got = _measured(np.frombuffer(row.column(mask)[0].as_py(), np.uint8).reshape(h, w), rules)
+                got = measured(np.frombuffer(row.column(mask)[0].as_py(), np.uint8).reshape(h, w), rules)
                 yield pa.RecordBatch.from_arrays([*row.columns, *(pa.array([got[n]], t) for n, t in zip(names, types))], names=[*row.schema.names, *names])
 
     return masks.mapInArrow(run, extend(masks.schema, MEASURES))
@@ -88,13 +88,13 @@ def judge(measured: DataFrame, rules: MaskRules = MaskRules()) -> DataFrame:
     ratio, parts = F.col("foreground_ratio"), F.col("components")
     thin, full, torn = ratio < rules.min_foreground_ratio, ratio > rules.max_foreground_ratio, parts > rules.max_components
     holes, glass = F.col("hole_ratio") > rules.max_hole_ratio, F.col("translucent_ratio") > rules.max_translucent_ratio
-    details = F.array_compact(F.array(F.when(thin, "mask nearly empty"), F.when(full, "mask covers nearly the whole frame"), F.when(torn, F.concat(parts.cast("string"), F.lit(" separate parts")))))
+    details = F.array_compact(F.array(F.when(thin, "almost empty foreground mask"), F.when(full, "foreground covers almost the entire image"), F.when(torn, F.concat(parts.cast("string"), F.lit(" significant disconnected components")))))
     return measured.withColumns(
         {
             "hard_reasons": scalars.flags((thin | full | torn, "mask_issue")),
             "hard_details": details,
             "triggers": scalars.flags((holes, "large_internal_holes"), (glass, "high_translucency")),
-            "trigger_details": scalars.flags((holes, "large holes inside the subject"), (glass, "many translucent pixels")),
+            "trigger_details": scalars.flags((holes, "large internal holes in foreground"), (glass, "unusually high translucent pixel ratio")),
             "cropped_source_signal": cropped(rules),
         }
     ).withColumn("qc_telemetry", scalars.flags((F.col("cropped_source_signal"), "cropped_source_signal")))

@@ -75,10 +75,13 @@ def enclosed(mask: np.ndarray) -> int:
     return int(((gaps > 0) & ~np.isin(gaps, border)).sum())
 
 
-def speckle_count(low: np.ndarray) -> int:
-    """Regions of a few pixels, up to 0.025 % of the image but at least four."""
+def speckles(low: np.ndarray) -> np.ndarray:
+    """Pixels of regions of a few pixels, up to 0.025 % of the image but at least four."""
     most = max(4, round(low.size * 0.00025))
-    return int((areas(low) <= most).sum())
+    numbers = label(low)
+    size = np.bincount(numbers.ravel())
+    size[0] = most + 1
+    return (size <= most)[numbers]
 
 
 def regions(masks: DataFrame, foreground: int = 24, solid: int = 224, min_ratio: float = 0.002) -> DataFrame:

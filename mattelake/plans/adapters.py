@@ -54,6 +54,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumns({"score": F.col("score100") / 100, "coverage": F.col("coverage100") / 100, "center_coverage": F.col("center100") / 100}).dropDuplicates(["image_id", "box_idx"])
 
 
+def box_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``boxes`` as one array an image, in the order of box_idx: image_id, idx, boxes."""
+    one = F.struct("x1", "y1", "x2", "y2", "score", "coverage", "center_coverage")
+    rows = boxes(spark, sf_dir).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_idx", one.alias("b")))).alias("_all"))
+    return rows.select("image_id", F.transform("_all", lambda x: x["box_idx"]).alias("idx"), F.transform("_all", lambda x: x["b"]).alias("boxes"))
+
+
 BOXES_SQL = """
 bx AS (SELECT DISTINCT ON (image_id, box_idx) * FROM (
   SELECT l_orderkey AS image_id, concat_ws('-', l_partkey, l_suppkey, l_linenumber) AS box_idx,
@@ -74,7 +81,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("u"), "user_id", F.lit("/"), "event_id", F.lit(".jpg")).alias("source_file"), status.alias("status"), F.col("value").alias("processing_time"),
         F.col("event_id").alias("seq"), "user_id", "event_type", "ts",
         F.when(F.col("event_id") % 3 == 0, F.lit(" True ")).when(F.col("event_id") % 3 == 1, F.lit("no")).alias("sam_requested"),
-        F.when(F.col("event_id") % 6 == 0, F.lit("yes")).otherwise("").alias("sam_ran"),
+        F.when(F.col("event_id") % 6 == 0, F.lit("yes")).otherwise("").alias("sam_ran"), F.when(F.col("event_id") % 50 == 0, F.lit("RuntimeError: x")).alias("sam_error"),
     )
 
 
@@ -83,7 +90,7 @@ lg AS (SELECT 'u' || user_id || '/' || event_id || '.jpg' AS source_file,
   CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'REVIEW' ELSE 'READY' END AS status,
   value AS processing_time, event_id AS seq, user_id, event_type, ts,
   CASE WHEN event_id % 3 = 0 THEN ' True ' WHEN event_id % 3 = 1 THEN 'no' END AS sam_requested,
-  CASE WHEN event_id % 6 = 0 THEN 'yes' ELSE '' END AS sam_ran FROM events)
+  CASE WHEN event_id % 6 = 0 THEN 'yes' ELSE '' END AS sam_ran, CASE WHEN event_id % 50 = 0 THEN 'RuntimeError: x' END AS sam_error FROM events)
 """
 
 
@@ -100,23 +107,25 @@ pt AS (SELECT doc_id, 'Dir' || (doc_id % 7) || '/file' || (doc_id // 2) ||
 """
 
 
-def ellipse(key: int, side: int = 192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rgb, cutout, mask) of an ellipse whose edge is as wide, and as tainted by the background, as its key says."""
-    y, x = np.indices((side, side))
-    away = np.hypot((x - side / 2) / (side * 0.28), (y - side * 0.526) / (side * 0.375))
-    alpha = np.clip(0.5 + (1 - away) * 60 / (2 + key % 9 * 2), 0, 1)
-    subject, back = np.array([184.0, 154, 116]), np.array([24.0, 76, 224])
+def leaf(key: int, side: int = 160) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rgb, cutout, mask) of a four-lobed shape whose edge is as wide, and as tainted by the background, as its key says."""
+    y, x = np.indices((side, side)) - (side - 1) / 2
+    turn = np.arctan2(y, x)
+    away = np.hypot(x, y) - side * (0.31 + 0.05 * np.cos(4 * turn + key))
+    alpha = np.clip(0.5 - away / (2 + key % 7 * 3), 0, 1)
+    subject = np.array([200.0, 90, 60]) if key % 3 else np.array([70.0, 70, 74])
+    back = np.array([40.0, 160, 70]) if key % 3 else np.array([215.0, 214, 212])
     mixed = lambda share: np.rint(subject * share[..., None] + back * (1 - share[..., None])).astype(np.uint8)
-    return mixed(alpha >= 0.5), mixed(1 - key % 2 * (1 - alpha) ** 0.45), np.rint(alpha * 255).astype(np.uint8)
+    return mixed(alpha >= 0.5), mixed(1 - key % 2 * (1 - alpha) * 0.8), np.rint(alpha * 255).astype(np.uint8)
 
 
-def ellipses(keys: DataFrame, key: str) -> DataFrame:
-    """An ``ellipse`` for every key: key, height, width, rgb, cutout, mask."""
+def leaves(keys: DataFrame, key: str) -> DataFrame:
+    """A ``leaf`` for every key: key, height, width, rgb, cutout, mask."""
 
     def run(batches):
         for b in batches:
             for k in b.column(0).to_pylist():
-                planes = ellipse(k)
+                planes = leaf(k)
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), *(pa.array([planes[0].shape[i]], pa.int32()) for i in (0, 1)), *(pa.array([p.tobytes()], pa.binary()) for p in planes)], names=[key, "height", "width", "rgb", "cutout", "mask"])
 
     return keys.select(F.col(key).cast("long")).mapInArrow(run, f"{key} long, height int, width int, rgb binary, cutout binary, mask binary")

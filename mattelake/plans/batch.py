@@ -1,160 +1,194 @@
 """A batch run: images to decisions, with models as plug-ins.
 
-Plug-ins are plain functions over numpy arrays and run in Arrow batches on the executors. The strong
-verifier sees only the images that ask for it: the rows are split before it, not inside an expression.
+Plug-ins are plain functions over numpy arrays and run in Arrow batches on the executors. A run is one
+chain over the images: a kernel that cuts out and measures, the rules as expressions, a kernel that asks
+the strong verifier where they want it, the rest of the rules. Nothing branches or joins, so every image
+is read, cut out and verified once, and its pixels never enter an exchange.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mattelake.config import Settings, fingerprint
 from mattelake.functions import scalars
-from mattelake.operators import boxes, decision, edges, ledger, qc
-from mattelake.schemas import extend
-
-VERDICT = "ran boolean, checked_people int, reasons array<string>, min_recall double, min_iou double, sam_error string"
+from mattelake.operators import boxes, decision, edges, foreground, ledger, qc
+from mattelake.operators.kernels import by_row
+from mattelake.schemas import SCORES
 
 
 @dataclass(frozen=True)
 class Plugins:
-    """predict(rgb) -> mask; detect(rgb, mask) -> boxes as dicts; verify(rgb, mask, boxes) -> dict; refine(rgb, mask) -> rgb."""
+    """The models of a run.
+
+    predict(rgb) -> mask; detect(rgb, mask) -> boxes as dicts of x1, y1, x2, y2, score and perhaps label;
+    segment(rgb, boxes) -> (masks, scores) of the strong verifier; refine(rgb, mask) -> rgb, or (rgb, mask)
+    whose mask must be the one given. Without ``refine`` the settings' own method is used. ``load`` runs
+    once in each worker before its first image, ``clear`` before a prediction that ran out of memory is
+    tried again. device and precision go to the ledger.
+    """
 
     predict: Callable[[np.ndarray], np.ndarray]
     detect: Callable[[np.ndarray, np.ndarray], list[dict]] | None = None
-    verify: Callable[[np.ndarray, np.ndarray, list[dict]], dict] | None = None
-    refine: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    segment: Callable[[np.ndarray, list[dict]], tuple[list[np.ndarray], list[float]]] | None = None
+    refine: Callable | None = None
+    load: Callable[[], None] | None = None
+    clear: Callable[[], None] | None = None
     retry_on: str = "out of memory"
+    device: str = "test"
+    precision: str = "test"
 
-    def names(self) -> list[str]:
-        return [getattr(f, "__name__", type(f).__name__) if f else "" for f in (self.predict, self.detect, self.verify, self.refine)]
 
+BOXES = f"boxes array<{boxes.BOX_TYPE}>"
+EXAMINED = f"mask binary, cutout binary, {qc.MEASURES}, {', '.join(f'{s} double' for s in SCORES)}, edge_pixels int, {BOXES}, {boxes.CHOSEN}, person_count int, missing int, uncertain int, seconds double"
+VERDICT = "ran boolean, checked_people int, reasons array<string>, details array<string>, min_recall double, min_iou double, sam_error string, sam_seconds double"
 
-def _kernel(rows: DataFrame, extra: str, work: Callable[[dict], dict]) -> DataFrame:
-    """rows with the columns of ``extra``, worked out row by row; what ``work`` raises ends in its own error column."""
-    own = T.StructType.fromDDL(extra)
-    names = [f.name for f in own.fields]
-    error = next(n for n in names if n.endswith("error"))
-    kinds = [{"binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}.get(f.dataType.simpleString()) for f in own.fields]
-    boxes_kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("x1", "y1", "x2", "y2")] + [(n, pa.float64()) for n in ("score", "coverage", "center_coverage")]))
-
-    def run(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1)
-                try:
-                    got = work(row.to_pylist()[0])
-                except Exception as e:  # a plug-in may raise anything; its image becomes a FAILED or unsure row
-                    got = {error: str(e) or type(e).__name__}
-                cols = [pa.array([got.get(n)], t or boxes_kind) for n, t in zip(names, kinds)]
-                yield pa.RecordBatch.from_arrays([*row.columns, *cols], names=[*row.schema.names, *names])
 
-    return rows.mapInArrow(run, extend(rows.schema, extra))
+def _reason(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
 
 
 def _rgb(row: dict) -> np.ndarray:
     return np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], 3)
 
 
-def _mask(row: dict) -> np.ndarray:
-    return np.frombuffer(row["mask"], np.uint8).reshape(row["height"], row["width"])
-
-
-def cut_out(images: DataFrame, plugins: Plugins) -> DataFrame:
-    """images (height, width, data) with mask and cutout; a memory failure is tried once more."""
-
-    def work(row):
-        rgb = _rgb(row)
+def _refined(rgb: np.ndarray, mask: np.ndarray, plugins: Plugins, settings: Settings) -> np.ndarray:
+    """Foreground colours; the refiner may change neither size nor mask."""
+    if plugins.refine is not None:
+        got = plugins.refine(rgb, mask)
+    elif not settings.foreground.enabled:
+        return rgb
+    elif settings.foreground.method == "pymatting_ml":
+        got = foreground.refine(rgb, mask)
+    else:
+        raise ValueError(f"Unsupported foreground refinement method: {settings.foreground.method}")
+    if isinstance(got, tuple):
+        got, alpha = got
+        if alpha.shape != mask.shape:
+            raise RuntimeError("Foreground refinement changed output dimensions")
+        if not np.array_equal(alpha, mask):
+            raise RuntimeError("Foreground refinement changed portrait alpha")
+    if got.shape != rgb.shape:
+        raise RuntimeError("Foreground refinement changed output dimensions")
+    return np.ascontiguousarray(got, np.uint8)
+
+
+def examine(images: DataFrame, plugins: Plugins, settings: Settings = Settings()) -> DataFrame:
+    """images (height, width, data, error) with ``EXAMINED``; what goes wrong with an image is its error."""
+
+    def work(row: dict) -> dict:
+        began = time.perf_counter()
+        out = {"error": row["error"]}
+        if row["error"] is None:
+            try:
+                rgb = _rgb(row)
+                try:
+                    mask = plugins.predict(rgb)
+                except RuntimeError as e:
+                    if plugins.retry_on not in str(e).lower():
+                        raise
+                    if plugins.clear is not None:
+                        plugins.clear()
+                    mask = plugins.predict(rgb)
+                mask = np.ascontiguousarray(mask, np.uint8)
+                if mask.shape != rgb.shape[:2]:
+                    raise ValueError("Alpha mask must be a 2D array of the image's size")
+                found = plugins.detect(rgb, mask) if plugins.detect is not None else []
+                kept, missing, uncertain = boxes.coverage(mask, found, settings.mask)
+                fine = _refined(rgb, mask, plugins, settings)
+                blank = dict.fromkeys(SCORES, 0.0) | {"edge_pixels": 0}
+                scores = edges.analysed(rgb, fine, mask, settings.edges)[0] if settings.edges.enabled else blank
+                out |= qc.measured(mask, settings.mask) | scores
+                out |= {"mask": mask.tobytes(), "cutout": fine.tobytes(), "boxes": kept, "person_count": len(kept), "missing": missing, "uncertain": uncertain}
+                out |= boxes.choose(kept, settings.verify)
+            except Exception as e:  # a plug-in may raise anything; its image becomes a FAILED row
+                out = {"error": _reason(e)}
+        return out | {"seconds": time.perf_counter() - began}
+
+    return by_row(images, f"{EXAMINED}, error string", work, plugins.load)
+
+
+def verify(images: DataFrame, plugins: Plugins, settings: Settings = Settings()) -> DataFrame:
+    """images with ``VERDICT``: the strong check of those whose ``_ask`` holds, nulls for the others."""
+
+    def work(row: dict) -> dict:
+        if not row["_ask"] or plugins.segment is None:
+            return {}
+        began = time.perf_counter()
         try:
-            mask = plugins.predict(rgb)
-        except RuntimeError as e:
-            if plugins.retry_on not in str(e).lower():
-                raise
-            mask = plugins.predict(rgb)
-        mask = np.ascontiguousarray(mask, np.uint8)
-        if mask.shape != rgb.shape[:2]:
-            raise ValueError("the mask does not fit the image")
-        fine = rgb if plugins.refine is None else np.ascontiguousarray(plugins.refine(rgb, mask), np.uint8)
-        if fine.shape != rgb.shape:
-            raise ValueError("the refined image does not fit the image")
-        return {"mask": mask.tobytes(), "cutout": fine.tobytes()}
+            prompts = [b | {"person": k} for k, b in enumerate(row["chosen"]) if b["keep"]]
+            mask = np.frombuffer(row["mask"], np.uint8).reshape(row["height"], row["width"])
+            masks, scores = plugins.segment(_rgb(row), prompts)
+            out = boxes.confirm(mask, prompts, masks, scores, settings.verify, row["person_count"])
+        except Exception as e:  # the verifier's failure leaves the image in doubt
+            out = {"sam_error": _reason(e)}
+        return out | {"sam_seconds": time.perf_counter() - began}
 
-    return _kernel(images, "mask binary, cutout binary, mask_error string", work)
+    return by_row(images, VERDICT, work)
 
 
-BOXES = "boxes array<struct<x1:int,y1:int,x2:int,y2:int,score:double,coverage:double,center_coverage:double>>, detect_error string"
+def judged(images: DataFrame, plugins: Plugins, settings: Settings = Settings(), done: DataFrame | None = None) -> DataFrame:
+    """Every image (source_file, height, width, data, error) that ``done`` does not have, with all that was found and decided.
 
-
-def detect(masked: DataFrame, plugins: Plugins) -> DataFrame:
-    """Adds boxes; without a detector there are none."""
-
-    def work(row):
-        return {"boxes": plugins.detect(_rgb(row), _mask(row)) if plugins.detect else []}
-
-    return _kernel(masked, BOXES, work)
+    Pixels, mask and cut-out stay in the row, for whoever saves them. An image's failure ends in its own row.
+    """
+    todo = ledger.pending(images, done) if done is not None else images
+    out = qc.judge(examine(todo, plugins, settings), settings.mask)
+    # Without a detector there are no people, and nothing is known about them.
+    out = out.withColumn("semantic_relevant", F.when(F.lit(plugins.detect is not None), F.col("person_count") > 0))
+    out = decision.edge_severity(out, settings.edges) if settings.edges.enabled else _no_edges(out)
+    out = out.withColumn("_ask", F.col("error").isNull() & F.coalesce(decision.verifier_wanted(settings.verify.enabled), F.lit(False)))
+    out = decision.escalate(verify(out, plugins, settings), plugins.segment is not None, settings.verify.enabled)
+    seconds = F.col("seconds") + F.coalesce("sam_seconds", F.lit(0.0))
+    return out.withColumns(
+        {
+            "processing_time": seconds, "device": F.lit(plugins.device), "precision": F.lit(plugins.precision), "foreground_refinement": F.lit(settings.foreground.method),
+            "pipeline_fingerprint": F.lit(fingerprint(settings)), "filename": scalars.png_name(F.col("source_file")),
+            "output_file": F.when(F.col("status") != "FAILED", F.concat(F.lower("status"), F.lit("/"), scalars.png_name(F.col("source_file")))),
+        }
+    ).drop("_ask")
+
+
+def _no_edges(rows: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return rows.withColumns({"severity": F.lit("none")} | {c: none for c in ("flags", "edge_hard", "edge_hard_details", "edge_weak", "edge_telemetry")})
 
 
 def run(images: DataFrame, plugins: Plugins, settings: Settings = Settings(), done: DataFrame | None = None) -> DataFrame:
-    """One ledger row per image (source_file, height, width, data, error) that ``done`` does not have.
-
-    Every failure of an image ends in its own FAILED row. Lists stay arrays; the sink renders them.
-    """
-    todo = ledger.pending(images, done) if done is not None else images
-    good = todo.where("error is null")
-    found = detect(cut_out(good, plugins), plugins)
-    whole = found.where("mask_error is null and detect_error is null")
-    broken = todo.where("error is not null").select("source_file", "height", "width", "error")
-    broken = broken.unionByName(found.where("mask_error is not null or detect_error is not null").select("source_file", "height", "width", F.coalesce("mask_error", "detect_error").alias("error")))
-
-    scored = edges.artifact_scores(whole.withColumns({"rgb": F.col("data"), "mask_bytes": F.col("mask")}), settings.edges)
-    measured = qc.judge(qc.measure_bytes(scored, settings.mask, "mask_bytes"), settings.mask)
-
-    single = measured.select(F.col("source_file").alias("image_id"), F.posexplode("boxes").alias("box_idx", "b")).select("image_id", "box_idx", "b.*")
-    chosen = boxes.human_triggers(boxes.select_prompts(single, settings.verify), settings.verify).withColumnRenamed("image_id", "source_file")
-    people = measured.join(chosen, "source_file", "left").withColumns({"person_count": F.size("boxes"), "kept": F.coalesce("kept", F.lit(0)), "error": F.lit(None).cast("string")})
-    relevant = F.when(F.lit(plugins.detect is not None), F.col("person_count") > 0)
-    people = decision.edge_severity(people.withColumn("semantic_relevant", relevant), settings.edges)
-
-    enabled = settings.verify.enabled and plugins.verify is not None
-    asked = people.withColumn("_ask", decision.verifier_wanted(settings.verify.enabled))
-
-    def check(row):
-        return plugins.verify(_rgb(row), np.frombuffer(row["mask_bytes"], np.uint8).reshape(row["height"], row["width"]), row["boxes"])
-
-    quiet = asked.where("not _ask") if enabled else asked
-    for f in VERDICT.split(", "):
-        name, kind = f.split(" ")
-        quiet = quiet.withColumn(name, F.lit(None).cast(kind))
-    verified = quiet.unionByName(_kernel(asked.where("_ask"), VERDICT, check)) if enabled else quiet
-    decided = decision.escalate(verified, plugins.verify is not None, settings.verify.enabled)
-    rows = decided.withColumn("pipeline_fingerprint", F.lit(fingerprint(settings, *plugins.names())))
-    failed = broken.withColumn("status", F.lit("FAILED")).withColumn("pipeline_fingerprint", F.lit(fingerprint(settings, *plugins.names())))
-    return as_ledger(rows).unionByName(failed, allowMissingColumns=True).withColumn("filename", scalars.png_name(F.col("source_file")))
+    """One ledger row per image that ``done`` does not have; lists stay arrays, the sink renders them."""
+    return as_ledger(judged(images, plugins, settings, done))
 
 
 def as_ledger(rows: DataFrame) -> DataFrame:
-    """Decided rows under the ledger's names."""
+    """Decided rows under the ledger's names; a failed image has its names, times and error only."""
     renamed = {
         "hard_reasons": "fast_qc_hard_reasons", "hard_details": "fast_qc_hard_details", "all_triggers": "verification_triggers", "trigger_details": "verification_trigger_details",
-        "requested": "sam_requested", "ran": "sam_ran", "kept": "sam_prompted_boxes", "filtered": "sam_filtered_boxes", "checked_people": "sam_checked_people", "min_recall": "sam_min_recall", "min_iou": "sam_min_iou",
+        "requested": "sam_requested", "filter_details": "sam_filter_details", "min_recall": "sam_min_recall", "min_iou": "sam_min_iou", "filtered": "sam_filtered_boxes",
         "residual": "artifact_residual_background_score", "chromatic": "artifact_chromatic_background_score", "neutral": "artifact_neutral_background_score", "loose": "artifact_loose_edge_score",
         "compact": "artifact_compact_damage_score", "hair": "artifact_weak_hair_edge_score", "instability": "artifact_local_alpha_instability_score", "semantic": "artifact_semantic_edge_anomaly_score",
         "agreement": "artifact_local_agreement_score", "total": "artifact_total_score", "edge_pixels": "artifact_edge_pixels", "severity": "artifact_severity", "flags": "artifact_flags",
-        "edge_hard": "artifact_hard_reasons", "edge_weak": "artifact_weak_triggers", "edge_telemetry": "artifact_telemetry", "telemetry": "telemetry_signals", "final_reasons": "final_review_reasons",
+        "edge_hard": "artifact_hard_reasons", "edge_hard_details": "artifact_hard_details", "edge_weak": "artifact_weak_triggers", "edge_telemetry": "artifact_telemetry", "telemetry": "telemetry_signals", "final_reasons": "final_review_reasons",
     }
-    keep = ["source_file", "status", "height", "width", "foreground_ratio", "components", "touch_top", "touch_bottom", "touch_left", "touch_right", "hole_ratio", "translucent_ratio", "cropped_source_signal", "person_count", "sam_result", "sam_error", "pipeline_fingerprint", "error"]
-    least = F.array_min(F.transform("boxes", lambda b: b["coverage"]))
-    return rows.select(
-        *keep, *[F.col(a).alias(b) for a, b in renamed.items()], (F.col("person_count") == 0).alias("person_detector_zero"), least.alias("person_box_coverage_min"),
-        F.col("final_reasons").alias("review_reason"), F.col("hard_details").alias("review_details"),
-    )
+    always = ["source_file", "filename", "output_file", "status", "processing_time", "device", "precision", "pipeline_fingerprint", "error"]
+    good = ["width", "height", "foreground_ratio", "components", "hole_ratio", "translucent_ratio", "touch_top", "touch_bottom", "touch_left", "touch_right", "cropped_source_signal", "person_count", "sam_result", "sam_error", "foreground_refinement"]
+    called = F.col("ran").isNotNull()
+    values = {c: F.col(c) for c in good} | {b: F.col(a) for a, b in renamed.items()}
+    values |= {
+        "person_detector_zero": F.col("person_count") == 0,
+        "person_box_coverage_min": F.array_min(F.transform("boxes", lambda b: b["coverage"])),
+        "sam_ran": F.coalesce("ran", F.lit(False)),
+        "sam_prompted_boxes": F.when(called, F.col("kept")).otherwise(F.lit(0)).cast("int"),
+        "sam_checked_people": F.coalesce("checked_people", F.lit(0)),
+        "review_reason": F.col("final_reasons"),
+        "review_details": F.col("final_details"),
+    }
+    return rows.select(*always, *[F.when(F.col("status") != "FAILED", c).alias(n) for n, c in values.items()])
 
 
 def validate(originals: DataFrame, report: DataFrame, cutouts: DataFrame, key: str = "source_file") -> DataFrame:

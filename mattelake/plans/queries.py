@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -132,95 +133,103 @@ def i07_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mask's own samples over white, grey and black, by their sums."""
     r = A.rasters(spark, sf_dir)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)
-    for name, canvas in (("white", 255), ("grey", 128), ("black", 0)):
+    for name, canvas in (("white", 255), ("grey", 136), ("black", 0)):
         r = compose.over(r, "alpha", canvas, name)
     return r.select("image_id", *[total(F.col(n)).alias(n) for n in ("white", "grey", "black")])
 
 
 I07 = f"""WITH {A.PIXELS_SQL} SELECT image_id,
-  {", ".join(f"CAST(sum(CAST(round_even((a * a + {c} * (255 - a)) / 255.0::DOUBLE, 0) AS INTEGER)) AS BIGINT) AS {n}" for n, c in (("white", 255), ("grey", 128), ("black", 0)))} FROM px GROUP BY image_id"""
+  {", ".join(f"CAST(sum(CAST(round_even((a * a + {c} * (255 - a)) / 255.0::DOUBLE, 0) AS INTEGER)) AS BIGINT) AS {n}" for n, c in (("white", 255), ("grey", 136), ("black", 0)))} FROM px GROUP BY image_id"""
 
 
 def w07_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sobel derivatives inside every mask as an equi-join of shifted pixels, and the transition pixels."""
-    p = A.pixels(spark, sf_dir)
-    shifts = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    spread = p.select("image_id", F.explode(shifts).alias("s"), "y", "x", "a").select("image_id", (F.col("y") - F.col("s.dy")).alias("y"), (F.col("x") - F.col("s.dx")).alias("x"), "s.dy", "s.dx", "a")
-    inside = spread.where("y between 1 and 6 and x between 1 and 6")
-    gx = F.sum(F.col("dx") * (2 - F.abs("dy")) * F.col("a"))
-    gy = F.sum(F.col("dy") * (2 - F.abs("dx")) * F.col("a"))
-    own = F.max(F.when((F.col("dy") == 0) & (F.col("dx") == 0), F.col("a")))
-    g = inside.groupBy("image_id", "y", "x").agg(gx.cast("long").alias("gx"), gy.cast("long").alias("gy"), own.alias("a"))
-    moving = (F.col("a") > 0.035 * 255) & (F.col("a") < 0.965 * 255) & (F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")) > 0.015 * 255)
-    return g.groupBy("image_id").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"), F.count_if(moving).alias("transition"))
-
-
-W07 = f"""WITH {A.PIXELS_SQL}, g AS (SELECT p.image_id, p.y, p.x, any_value(p.a) AS a,
-  sum((q.x - p.x) * (2 - abs(q.y - p.y)) * q.a) AS gx, sum((q.y - p.y) * (2 - abs(q.x - p.x)) * q.a) AS gy
-  FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1
-  WHERE p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 GROUP BY p.image_id, p.y, p.x)
-SELECT image_id, CAST(sum(gx) AS BIGINT) AS gx, CAST(sum(gy) AS BIGINT) AS gy,
+    """Sobel derivatives at every pixel, borders mirrored, by checksums over the image; and its transition pixels."""
+    s = edges.stencils(A.rasters(spark, sf_dir))
+    # Weights by position tell derivatives apart that only change places.
+    weighed = lambda c: F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0.0), lambda t, v: t + v).cast("long")
+    return s.select("image_id", weighed("gx").alias("gx"), weighed("gy").alias("gy"), F.col("transition").cast("long").alias("transition"))
+
+
+_MIRRORED = """CASE WHEN p.{c} + {d} < 0 THEN -(p.{c} + {d}) WHEN p.{c} + {d} > 7 THEN 14 - (p.{c} + {d}) ELSE p.{c} + {d} END"""
+_Y, _X = _MIRRORED.format(c="y", d="dy"), _MIRRORED.format(c="x", d="dx")
+
+
+def _around(reach: int) -> str:
+    return f"nb AS (SELECT p.image_id, p.i, p.a, dy, dx, {_Y} AS ny, {_X} AS nx FROM px p, (SELECT unnest(range(-{reach}, {reach + 1})) AS dy), (SELECT unnest(range(-{reach}, {reach + 1})) AS dx))"
+
+
+W07 = f"""WITH {A.PIXELS_SQL}, {_around(1)}, g AS (SELECT n.image_id, n.i, any_value(n.a) AS a,
+  sum(dx * (2 - abs(dy)) * q.a) AS gx, sum(dy * (2 - abs(dx)) * q.a) AS gy
+  FROM nb n JOIN px q ON q.image_id = n.image_id AND q.y = ny AND q.x = nx GROUP BY n.image_id, n.i)
+SELECT image_id, CAST(sum(gx * (i + 1)) AS BIGINT) AS gx, CAST(sum(gy * (i + 1)) AS BIGINT) AS gy,
   count(*) FILTER (WHERE a > 0.035 * 255 AND a < 0.965 * 255 AND sqrt((gx * gx + gy * gy)::DOUBLE) > 0.015 * 255) AS transition FROM g GROUP BY image_id"""
 
 
 def w08_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standard deviation in the 5 x 5 windows that lie within the mask, its largest and mean per image."""
-    p = A.pixels(spark, sf_dir)
-    around = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    wide = p.withColumn("dy", around).withColumn("dx", F.explode(F.sequence(F.lit(-2), F.lit(2)))).select("image_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "a")
-    v = wide.where("y between 2 and 5 and x between 2 and 5").groupBy("image_id", "y", "x").agg((F.sum(F.col("a") * F.col("a")) * 25 - F.sum("a") * F.sum("a")).cast("double").alias("v"))
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("v"))) / 25
-    return v.groupBy("image_id").agg(F.round(F.max(sd), 6).alias("most"), F.round(F.avg(sd), 6).alias("mean"))
+    """Standard deviation in the 5 x 5 window of every pixel, borders mirrored; its largest and mean per image."""
+    s = edges.stencils(A.rasters(spark, sf_dir))
+    mean = F.aggregate("deviation", F.lit(0.0), lambda t, v: t + v) / F.size("deviation")
+    return s.select("image_id", F.round(F.array_max("deviation"), 6).alias("most"), F.round(mean, 6).alias("mean"))
 
 
-W08 = f"""WITH {A.PIXELS_SQL}, v AS (SELECT p.image_id, p.y, p.x, (sum(q.a * q.a) * 25 - sum(q.a) * sum(q.a))::DOUBLE AS v
-  FROM px p JOIN px q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 2 AND abs(q.y - p.y) <= 2
-  WHERE p.y BETWEEN 2 AND 5 AND p.x BETWEEN 2 AND 5 GROUP BY p.image_id, p.y, p.x)
+W08 = f"""WITH {A.PIXELS_SQL}, {_around(2)}, v AS (SELECT n.image_id, n.i, (sum(q.a * q.a) * 25 - sum(q.a) * sum(q.a))::DOUBLE AS v
+  FROM nb n JOIN px q ON q.image_id = n.image_id AND q.y = ny AND q.x = nx GROUP BY n.image_id, n.i)
 SELECT image_id, round(max(sqrt(greatest(0, v)) / 25), 6) AS most, round(avg(sqrt(greatest(0, v)) / 25), 6) AS mean FROM v GROUP BY image_id"""
 
 
 def j05_box_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of three boxes of every mask, by a range join with its pixels."""
-    p = A.pixels(spark, sf_dir).withColumn("on", F.col("a") >= 24)
-    ids = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"))
+    """Confident people among five detections of every mask, cut to the frame, and their coverage."""
     k = F.col("image_id") % 3
-    three = F.array(*[F.struct(F.lit(i).alias("box_idx"), x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), x2.cast("int").alias("x2"), y2.cast("int").alias("y2")) for i, (x1, y1, x2, y2) in enumerate([(k - 1, F.lit(0), F.lit(6), F.lit(9)), (F.lit(2), k, F.lit(8), F.lit(7)), (F.lit(5), F.lit(5), k + 5, F.lit(8))])])
-    b = B.clamp(ids.select("image_id", F.explode(three).alias("b")).select("image_id", "b.*"), F.lit(8), F.lit(8))
-    c = B.coverage(p, b)
-    missing = (F.col("coverage") < 0.18) | (F.col("center_coverage") < 0.30)
-    return _six(c.withColumn("missing", missing), "coverage", "center_coverage")
-
-
-J05 = f"""WITH {A.PIXELS_SQL}, b0 AS (SELECT vec_id AS image_id, 0 AS box_idx, vec_id % 3 - 1 AS x1, 0 AS y1, 6 AS x2, 9 AS y2 FROM embeddings
-  UNION ALL SELECT vec_id, 1, 2, vec_id % 3, 8, 7 FROM embeddings UNION ALL SELECT vec_id, 2, 5, 5, vec_id % 3 + 5, 8 FROM embeddings),
-b AS (SELECT image_id, box_idx, greatest(0, x1) AS x1, greatest(0, y1) AS y1, least(8, x2) AS x2, least(8, y2) AS y2 FROM b0),
-c AS (SELECT b.image_id, b.box_idx, avg(CAST(a >= 24 AS INTEGER)) AS coverage,
+    given = [(k - 1, F.lit(0), F.lit(6), F.lit(9), 0.9, 1), (F.lit(2), k, F.lit(8), F.lit(7), 0.56, 1), (F.lit(5), F.lit(5), k + 5, F.lit(8), 0.99, 1), (F.lit(0), F.lit(0), F.lit(8), F.lit(8), 0.54, 1), (F.lit(1), F.lit(1), F.lit(7), F.lit(7), 0.99, 2)]
+    found = F.array(*[F.struct(x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), x2.cast("int").alias("x2"), y2.cast("int").alias("y2"), F.lit(p).alias("score"), F.lit(label).alias("label")) for x1, y1, x2, y2, p, label in given])
+    m = B.measured(A.rasters(spark, sf_dir).withColumn("found", found), "found", "alpha")
+    flat = m.select("image_id", "missing", "uncertain", F.posexplode("boxes").alias("box_idx", "b")).select("image_id", "box_idx", "b.x1", "b.x2", "b.coverage", "b.center_coverage", "missing", "uncertain")
+    return _six(flat, "coverage", "center_coverage")
+
+
+J05 = f"""WITH {A.PIXELS_SQL}, b0 AS (SELECT vec_id AS image_id, 0 AS n, vec_id % 3 - 1 AS x1, 0 AS y1, 6 AS x2, 9 AS y2, 0.9 AS score, 1 AS label FROM embeddings
+  UNION ALL SELECT vec_id, 1, 2, vec_id % 3, 8, 7, 0.56, 1 FROM embeddings UNION ALL SELECT vec_id, 2, 5, 5, vec_id % 3 + 5, 8, 0.99, 1 FROM embeddings
+  UNION ALL SELECT vec_id, 3, 0, 0, 8, 8, 0.54, 1 FROM embeddings UNION ALL SELECT vec_id, 4, 1, 1, 7, 7, 0.99, 2 FROM embeddings),
+b1 AS (SELECT image_id, n, greatest(0, x1) AS x1, greatest(0, y1) AS y1, least(8, x2) AS x2, least(8, y2) AS y2 FROM b0 WHERE label = 1 AND score >= 0.55),
+b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n) - 1 AS box_idx FROM b1 WHERE x2 > x1 AND y2 > y1),
+c AS (SELECT b.image_id, b.box_idx, any_value(b.x1) AS x1, any_value(b.x2) AS x2, avg(CAST(a >= 24 AS INTEGER)) AS coverage,
   coalesce(avg(CAST(a >= 24 AS INTEGER)) FILTER (WHERE x >= x1 + CAST(floor((x2 - x1) * 0.22::DOUBLE) AS INTEGER) AND x < x2 - CAST(floor((x2 - x1) * 0.22::DOUBLE) AS INTEGER)
     AND y >= y1 + CAST(floor((y2 - y1) * 0.10::DOUBLE) AS INTEGER) AND y < y2 - CAST(floor((y2 - y1) * 0.10::DOUBLE) AS INTEGER)), 0) AS center_coverage
-  FROM b JOIN px ON px.image_id = b.image_id AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 WHERE x2 > x1 AND y2 > y1 GROUP BY b.image_id, b.box_idx)
-SELECT image_id, box_idx, round(coverage, 6) AS coverage, round(center_coverage, 6) AS center_coverage, coverage < 0.18 OR center_coverage < 0.30 AS missing FROM c"""
+  FROM b JOIN px ON px.image_id = b.image_id AND x >= x1 AND x < x2 AND y >= y1 AND y < y2 GROUP BY b.image_id, b.box_idx)
+SELECT image_id, CAST(box_idx AS INTEGER) AS box_idx, CAST(x1 AS INTEGER) AS x1, CAST(x2 AS INTEGER) AS x2, round(coverage, 6) AS coverage, round(center_coverage, 6) AS center_coverage,
+  CAST(count(*) FILTER (WHERE coverage < 0.18 OR center_coverage < 0.30) OVER w AS INTEGER) AS missing,
+  CAST(count(*) FILTER (WHERE coverage >= 0.18 AND center_coverage >= 0.30 AND coverage < 0.18 * 1.35::DOUBLE) OVER w AS INTEGER) AS uncertain
+FROM c WINDOW w AS (PARTITION BY image_id)"""
 
 
 def j09_mask_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of each mask against the next one's, left and right half as two people."""
-    p = A.pixels(spark, sf_dir)
-    q = p.select((F.col("image_id") - 1).alias("image_id"), "y", "x", (F.col("a") >= 127).alias("reference"))
-    both = p.select("image_id", "y", "x", (F.col("a") >= 127).alias("candidate")).join(q, ["image_id", "y", "x"]).withColumn("box_idx", F.floor(F.col("x") / 4).cast("int"))
-    v = B.verdict(B.mask_recall(both))
-    return _six(v.withColumn("reasons", S.joined(F.col("reasons"))), "min_recall", "min_iou")
-
-
-J09 = f"""WITH {A.PIXELS_SQL}, r AS (SELECT p.image_id, p.x // 4 AS box_idx, count(*) FILTER (WHERE q.a >= 127) AS core, count(*) FILTER (WHERE p.a >= 127 AND q.a >= 127) AS hit,
-  count(*) FILTER (WHERE p.a >= 127 OR q.a >= 127) AS either, count(*) AS inside FROM px p JOIN px q ON q.image_id = p.image_id + 1 AND q.i = p.i GROUP BY p.image_id, p.x // 4),
-s AS (SELECT *, hit / greatest(1, core)::DOUBLE AS recall, hit / greatest(1, either)::DOUBLE AS iou, (core - hit) / inside::DOUBLE AS mr FROM r WHERE core > 0),
-t AS (SELECT image_id, count(*) AS checked_people, count(*) FILTER (WHERE recall < 0.82 AND mr >= 0.02) AS missing_count, round(min(recall), 6) AS min_recall, round(min(iou), 6) AS min_iou FROM s GROUP BY image_id)
-SELECT *, CASE WHEN missing_count = 0 THEN '' WHEN checked_people > 1 THEN 'missing_body_part;human_mask_disagreement;multiple_people_uncertain' ELSE 'missing_body_part;human_mask_disagreement' END AS reasons FROM t"""
+    """Each mask against the next one's halves as two people; every third right half is unsure."""
+    r = A.rasters(spark, sf_dir)
+    nxt = r.select((F.col("image_id") - 1).alias("image_id"), F.transform("alpha", lambda v: (v >= 127).cast("int")).alias("m"))
+    half = lambda x1, x2: F.struct(F.lit(x1).alias("x1"), F.lit(0).alias("y1"), F.lit(x2).alias("x2"), F.lit(8).alias("y2"))
+    score = F.when(F.col("image_id") % 3 == 0, 0.5).otherwise(0.9)
+    both = r.join(nxt, "image_id").withColumns({"prompts": F.array(half(0, 4), half(4, 8)), "masks": F.array("m", "m"), "scores": F.array(F.lit(0.95), score)})
+    v = B.confirmed(both, mask="alpha")
+    return _six(v.select("image_id", F.col("checked_people").cast("long").alias("checked_people"), S.joined(F.col("reasons")).alias("reasons"), F.size("details").alias("n_details"), "min_recall", "min_iou"), "min_recall", "min_iou")
+
+
+J09 = f"""WITH {A.PIXELS_SQL}, z AS (SELECT p.image_id, p.x // 4 AS box_idx, p.y, p.x, p.a >= 24 AS cand, q.a >= 127 AS ref
+    FROM px p JOIN px q ON q.image_id = p.image_id + 1 AND q.i = p.i WHERE p.x < 4 OR p.image_id % 3 <> 0),
+gap AS (SELECT DISTINCT a.image_id, a.box_idx, a.y, a.x FROM z a JOIN z b ON a.image_id = b.image_id AND a.box_idx = b.box_idx AND abs(a.y - b.y) + abs(a.x - b.x) <= 1 AND NOT b.ref),
+ec AS (SELECT z.*, gap.x IS NULL AS core FROM z LEFT JOIN gap ON gap.image_id = z.image_id AND gap.box_idx = z.box_idx AND gap.y = z.y AND gap.x = z.x),
+f AS (SELECT *, CASE WHEN bool_or(core) OVER w THEN core ELSE ref END AS own, bool_or(ref) OVER w AS seen FROM ec WINDOW w AS (PARTITION BY image_id, box_idx)),
+r AS (SELECT image_id, box_idx, count(*) FILTER (WHERE own) AS core, count(*) FILTER (WHERE own AND cand) AS hit, count(*) FILTER (WHERE own OR cand) AS either, count(*) AS inside FROM f WHERE seen GROUP BY image_id, box_idx),
+s AS (SELECT *, hit / greatest(1, core)::DOUBLE AS recall, hit / greatest(1, either)::DOUBLE AS iou, (core - hit) / inside::DOUBLE AS mr FROM r),
+t AS (SELECT i.image_id, count(s.image_id) AS checked_people, count(*) FILTER (WHERE recall < 0.82 AND mr >= 0.02) AS n, round(min(recall), 6) AS min_recall, round(min(iou), 6) AS min_iou
+  FROM (SELECT DISTINCT image_id FROM z) i LEFT JOIN s ON s.image_id = i.image_id GROUP BY i.image_id)
+SELECT image_id, checked_people, CASE WHEN n = 0 THEN '' ELSE 'missing_body_part;human_mask_disagreement;multiple_people_uncertain' END AS reasons, CAST(n AS INTEGER) AS n_details, min_recall, min_iou FROM t"""
 
 
 def d03_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which boxes deserve the strong verifier, and why."""
-    out = B.select_prompts(A.boxes(spark, sf_dir))
-    return out.select("image_id", "box_idx", F.col("area").cast("long").alias("area"), "covered", "branch", "keep")
+    out = B.select_prompts(A.box_arrays(spark, sf_dir))
+    flat = out.select("image_id", F.explode(F.arrays_zip("idx", "chosen")).alias("z"))
+    return flat.select("image_id", F.col("z.idx").alias("box_idx"), "z.chosen.area", "z.chosen.covered", "z.chosen.branch", "z.chosen.keep")
 
 
 _COVERED = """sz AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, max((x2 - x1) * (y2 - y1)) OVER (PARTITION BY image_id) AS top,
@@ -240,46 +249,62 @@ D03 = f"""WITH {A.BOXES_SQL}, {_COVERED} SELECT image_id, box_idx, CAST(area AS
 
 
 def d04_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triggers of the kept boxes of every image."""
-    out = B.human_triggers(B.select_prompts(A.boxes(spark, sf_dir)))
-    return out.select("image_id", "kept", "filtered", F.array_join(F.array_sort("human_triggers"), ";").alias("triggers"))
+    """Triggers of the kept boxes of every image, in order."""
+    out = B.select_prompts(A.box_arrays(spark, sf_dir))
+    return out.select("image_id", "kept", "filtered", F.size("filter_details").alias("n_details"), S.joined(F.col("human_triggers")).alias("triggers"))
+
 
+D04 = f"""WITH {A.BOXES_SQL}, {_COVERED}, k AS (SELECT *, branch IN ('supported', 'partial', 'significant') AS keep FROM pr),
+g AS (SELECT image_id, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS filtered, min(coverage100) FILTER (WHERE keep) AS least,
+  min(box_idx) FILTER (WHERE keep AND coverage100 < 45) AS b, min(box_idx) FILTER (WHERE keep AND center100 < 55) AS c FROM k GROUP BY image_id)
+SELECT image_id, kept, filtered, CAST(filtered AS INTEGER) AS n_details, concat_ws(';',
+  CASE WHEN c < b THEN 'person_center_coverage' END, CASE WHEN b IS NOT NULL THEN 'person_box_coverage' END, CASE WHEN c >= b OR (b IS NULL AND c IS NOT NULL) THEN 'person_center_coverage' END,
+  CASE WHEN kept > 1 AND least < 60 THEN 'multiple_people_coverage' END) AS triggers FROM g"""
 
-D04 = f"""WITH {A.BOXES_SQL}, {_COVERED}, k AS (SELECT *, branch IN ('supported', 'partial', 'significant') AS keep FROM pr)
-SELECT image_id, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS filtered,
-  concat_ws(';', CASE WHEN count(*) FILTER (WHERE keep) > 1 AND min(coverage100) FILTER (WHERE keep) < 60 THEN 'multiple_people_coverage' END,
-    CASE WHEN count(*) FILTER (WHERE keep AND coverage100 < 45) > 0 THEN 'person_box_coverage' END,
-    CASE WHEN count(*) FILTER (WHERE keep AND center100 < 55) > 0 THEN 'person_center_coverage' END) AS triggers
-FROM k GROUP BY image_id HAVING count(*) FILTER (WHERE keep) > 0"""
+
+_SCORE_NAMES = ("residual", "chromatic", "neutral", "loose", "compact", "hair", "instability", "semantic", "agreement", "total")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten scores of every embedding, in hundredths, and an edge sample."""
+    """Ten scores of every embedding, in hundredths, and an edge sample; some ids have scores around the bounds of hard findings."""
     e = A.table(spark, sf_dir, "embeddings")
-    names = ("residual", "chromatic", "neutral", "loose", "compact", "hair", "instability", "semantic", "agreement", "total")
-    hundredth = lambda i: F.least(F.lit(100), F.floor(F.abs(F.col("embedding")[i].cast("double")) * 500).cast("int")) / 100
+
+    def hundredth(i: int, name: str):
+        size = F.abs(F.col("embedding")[i].cast("double"))
+        usual = F.least(F.lit(100), F.floor(size * 500).cast("int"))
+        spread = name in ("chromatic", "loose", "semantic", "agreement")
+        torn = name in ("compact", "instability")
+        close = F.when((F.col("vec_id") % 4 == 0) & F.lit(spread), 55 + F.floor(size * 400).cast("int") % 45).when((F.col("vec_id") % 4 == 1) & F.lit(torn), 84 + F.floor(size * 400).cast("int") % 16)
+        return F.coalesce(close, usual) / 100
+
     relevant = F.when(F.col("vec_id") % 3 == 0, F.lit(True)).when(F.col("vec_id") % 3 == 1, F.lit(False))
-    return e.select("vec_id", *[hundredth(i).alias(n) for i, n in enumerate(names)], (F.col("vec_id") % 97 + 40).cast("int").alias("edge_pixels"), relevant.alias("semantic_relevant"))
+    return e.select("vec_id", *[hundredth(i, n).alias(n) for i, n in enumerate(_SCORE_NAMES)], (F.col("vec_id") % 97 + 40).cast("int").alias("edge_pixels"), relevant.alias("semantic_relevant"))
 
 
 def d08_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags and severity of synthetic edge scores."""
-    loose = EdgeRules(hard_residual=(0.2, 0.9), hard_loose=(0.2, 0.9), hard_combined=(0.2, 0.9), hard_agreement=(0.2, 0.9))
-    s = decision.edge_severity(_scores(spark, sf_dir), loose)
-    return s.select("vec_id", "severity", *[S.joined(F.col(c)).alias(c) for c in ("flags", "edge_weak", "edge_telemetry")])
+    """Flags, severity and signals of synthetic edge scores under the default rules."""
+    s = decision.edge_severity(_scores(spark, sf_dir), EdgeRules())
+    return s.select("vec_id", "severity", F.size("edge_hard_details").alias("n_details"), *[S.joined(F.col(c)).alias(c) for c in ("flags", "edge_hard", "edge_weak", "edge_telemetry")])
 
 
-_SCORES = ", ".join(f"least(100, CAST(floor(abs(embedding[{i + 1}]::DOUBLE) * 500) AS INTEGER)) AS {n}" for i, n in enumerate(("residual", "chromatic", "neutral", "loose", "compact", "hair", "instability", "semantic", "agreement", "total")))
-D08 = f"""WITH s AS (SELECT vec_id, {_SCORES}, vec_id % 97 + 40 AS edge_pixels, CASE vec_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS rel FROM embeddings),
+def _score_sql(i: int, name: str) -> str:
+    size = f"abs(embedding[{i + 1}]::DOUBLE)"
+    near = {"chromatic": (0, 55, 45), "loose": (0, 55, 45), "semantic": (0, 55, 45), "agreement": (0, 55, 45), "compact": (1, 84, 16), "instability": (1, 84, 16)}.get(name)
+    usual = f"least(100, CAST(floor({size} * 500) AS INTEGER))"
+    return f"CASE WHEN vec_id % 4 = {near[0]} THEN {near[1]} + CAST(floor({size} * 400) AS INTEGER) % {near[2]} ELSE {usual} END AS {name}" if near else f"{usual} AS {name}"
+
+
+D08 = f"""WITH s AS (SELECT vec_id, {", ".join(_score_sql(i, n) for i, n in enumerate(_SCORE_NAMES))}, vec_id % 97 + 40 AS edge_pixels, CASE vec_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS rel FROM embeddings),
 f AS (SELECT *, edge_pixels < 48 AS small, concat_ws(';', CASE WHEN loose >= 45 THEN 'loose_edge_noise' END, CASE WHEN instability >= 85 THEN 'local_alpha_instability' END,
-    CASE WHEN residual >= 35 AND loose > 36 THEN 'semantic_edge_anomaly' END) AS weak,
-  concat_ws(';', CASE WHEN residual >= 35 THEN 'residual_background_color' END, CASE WHEN loose >= 45 THEN 'loose_edge_noise' END, CASE WHEN compact >= 85 THEN 'compact_edge_damage' END,
-    CASE WHEN hair >= 85 THEN 'weak_hair_edge' END, CASE WHEN instability >= 85 THEN 'local_alpha_instability' END, CASE WHEN residual >= 35 AND loose > 36 THEN 'semantic_edge_anomaly' END) AS every FROM s),
+    CASE WHEN residual >= 35 AND loose / 100.0::DOUBLE >= 0.45::DOUBLE * 0.8::DOUBLE THEN 'semantic_edge_anomaly' END) AS weak,
+  concat_ws(';', CASE WHEN residual >= 35 THEN 'residual_background_color' END, CASE WHEN loose >= 45 THEN 'loose_edge_noise' END, CASE WHEN compact >= 85 THEN 'overcut_compact_structure' END,
+    CASE WHEN hair >= 85 THEN 'weak_hair_edge' END, CASE WHEN instability >= 85 THEN 'local_alpha_instability' END, CASE WHEN residual >= 35 AND loose / 100.0::DOUBLE >= 0.45::DOUBLE * 0.8::DOUBLE THEN 'semantic_edge_anomaly' END) AS every FROM s),
 v AS (SELECT *, CASE WHEN small THEN '' ELSE every END AS flags, CASE WHEN small THEN 'none'
-    WHEN coalesce(rel, true) AND ((chromatic BETWEEN 20 AND 90 AND loose BETWEEN 20 AND 90 AND semantic BETWEEN 20 AND 90 AND agreement BETWEEN 20 AND 90) OR (compact >= 90 AND instability >= 90)) THEN 'hard'
+    WHEN rel IS DISTINCT FROM false AND ((chromatic BETWEEN 65 AND 90 AND loose BETWEEN 60 AND 90 AND semantic BETWEEN 55 AND 85 AND agreement BETWEEN 45 AND 90) OR (compact >= 90 AND instability >= 90)) THEN 'hard'
     WHEN weak <> '' THEN 'weak' WHEN every <> '' OR total >= 15 THEN 'telemetry' ELSE 'none' END AS severity FROM f)
-SELECT vec_id, severity, flags, CASE WHEN severity = 'weak' THEN weak ELSE '' END AS edge_weak,
-  CASE WHEN small THEN 'artifact_edge_sample_too_small' WHEN rel = false AND every <> '' THEN 'artifact_semantic_suppression' ELSE '' END AS edge_telemetry FROM v"""
+SELECT vec_id, severity, CAST(severity = 'hard' AS INTEGER) AS n_details, flags, CASE WHEN severity = 'hard' THEN 'edge_artifact' ELSE '' END AS edge_hard, CASE WHEN severity = 'weak' THEN weak ELSE '' END AS edge_weak,
+  concat_ws(';', CASE WHEN small THEN 'artifact_edge_sample_too_small' END, CASE WHEN severity = 'telemetry' THEN 'artifact_signal_observed' END,
+    CASE WHEN NOT small AND rel = false AND every <> '' THEN 'artifact_semantic_suppression' END) AS edge_telemetry FROM v"""
 
 
 def d09_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,17 +321,19 @@ def d09_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     d = decision.escalate(rows)
-    return d.select("o_orderkey", "requested", "sam_result", "status", S.joined(F.col("final_reasons")).alias("final_reasons"), S.joined(F.col("telemetry")).alias("telemetry"))
+    return d.select("o_orderkey", "requested", "sam_result", "status", S.joined(F.col("final_reasons")).alias("final_reasons"), S.joined(F.col("final_details"), "; ").alias("final_details"), S.joined(F.col("telemetry")).alias("telemetry"))
 
 
 D09 = """WITH b AS (SELECT o_orderkey AS k, o_orderkey % 7 = 0 AS mi, o_orderkey % 11 = 0 AS eh, (o_orderkey // 2) % 2 = 1 AS tr, (o_orderkey // 4) % 2 = 1 AS ht, (o_orderkey // 8) % 2 = 1 AS cr, (o_orderkey // 16) % 2 = 1 AS wk,
   o_orderkey % 3 AS pc, least(o_orderkey % 3, 1) AS kept, o_orderkey % 5 <> 0 AS ran, (o_orderkey // 32) % 3 AS cp, (o_orderkey // 64) % 2 = 1 AS rs, o_orderkey % 13 = 0 AS se, o_orderkey % 17 = 0 AS er FROM orders),
-r AS (SELECT *, NOT mi AND NOT eh AND pc > 0 AND kept > 0 AND ht AS requested FROM b),
+r AS (SELECT *, NOT mi AND NOT eh AND pc > 0 AND kept > 0 AND (tr OR ht) AS requested FROM b),
 s AS (SELECT *, CASE WHEN mi OR eh THEN 'hard_review' WHEN requested AND se THEN 'error' WHEN requested AND (NOT ran OR cp < kept) THEN 'incomplete' WHEN requested AND rs THEN 'disagreement'
   WHEN requested THEN 'confirmed' WHEN tr OR ht THEN 'unavailable' ELSE 'not_requested' END AS sam_result FROM r),
-f AS (SELECT *, concat_ws(';', CASE WHEN mi THEN 'mask_issue' END, CASE WHEN eh THEN 'edge_artifact' END, CASE WHEN sam_result IN ('incomplete', 'disagreement') AND rs THEN 'missing_body_part' END,
-  CASE WHEN sam_result IN ('error', 'incomplete', 'unavailable') THEN 'low_confidence' END) AS final_reasons FROM s)
-SELECT k AS o_orderkey, requested, sam_result, CASE WHEN er THEN 'FAILED' WHEN final_reasons = '' THEN 'READY' ELSE 'REVIEW' END AS status, final_reasons,
+f AS (SELECT *, concat_ws(';', CASE WHEN mi THEN 'mask_issue' END, CASE WHEN eh THEN 'edge_artifact' END, CASE WHEN sam_result IN ('error', 'incomplete', 'unavailable') THEN 'low_confidence' END,
+  CASE WHEN sam_result IN ('incomplete', 'disagreement') AND rs THEN 'missing_body_part' END) AS final_reasons,
+  CASE sam_result WHEN 'error' THEN 'strong verifier failed on a suspicious result' WHEN 'unavailable' THEN 'strong verification could not be requested for a suspicious result'
+    WHEN 'incomplete' THEN 'strong verification did not evaluate every requested person prompt (' || cp || '/' || kept || ')' ELSE '' END AS final_details FROM s)
+SELECT k AS o_orderkey, requested, sam_result, CASE WHEN er THEN 'FAILED' WHEN final_reasons = '' THEN 'READY' ELSE 'REVIEW' END AS status, final_reasons, final_details,
   concat_ws(';', CASE WHEN cr THEN 'cropped_source_signal' END, CASE WHEN wk THEN 'artifact:loose_edge_noise' END, CASE WHEN pc = 0 THEN 'person_detector_zero' END) AS telemetry FROM f"""
 
 
@@ -357,11 +384,13 @@ W02 = f"WITH {A.LEDGER_SQL} SELECT user_id::VARCHAR AS key, arg_max(source_file,
 
 def w01_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean time so far within each user's run."""
-    # Means that end on a half at the seventh decimal round the same way in both engines.
-    return ledger.running_mean(A.ledger(spark, sf_dir), "user_id", "seq").select("seq", F.round(F.col("mean_so_far") + 1e-9, 6).alias("mean_so_far"))
+    # A mean times its rows is a sum again, which both engines give to the cent.
+    rows = ledger.running_mean(A.ledger(spark, sf_dir), "user_id", "seq")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("seq"))
+    return rows.select("seq", F.rint(F.col("mean_so_far") * n * 100).cast("long").alias("cents_so_far"))
 
 
-W01 = f"WITH {A.LEDGER_SQL} SELECT seq, round(avg(processing_time) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS mean_so_far FROM lg"
+W01 = f"WITH {A.LEDGER_SQL} SELECT seq, CAST(round_even(100 * sum(processing_time) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS cents_so_far FROM lg"
 
 
 def a18_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,7 +410,7 @@ def a19_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 A19 = f"""WITH {A.LEDGER_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'READY') AS ready, count(*) FILTER (WHERE status = 'REVIEW') AS review, count(*) FILTER (WHERE status = 'FAILED') AS failed,
   round(sum(processing_time), 6) AS total_time, round(avg(processing_time), 6) AS average_time, round(median(processing_time), 6) AS median_time, round(quantile_cont(processing_time, 0.95), 6) AS p95_time,
   count(*) FILTER (WHERE lower(trim(sam_requested)) IN ('1', 'true', 'yes')) AS sam_requests, count(*) FILTER (WHERE lower(trim(sam_ran)) IN ('1', 'true', 'yes')) AS sam_runs,
-  round(count(*) FILTER (WHERE lower(trim(sam_ran)) IN ('1', 'true', 'yes')) * 100.0::DOUBLE / count(*), 6) AS sam_percent FROM lg"""
+  round(count(*) FILTER (WHERE lower(trim(sam_ran)) IN ('1', 'true', 'yes')) * 100.0::DOUBLE / count(*), 6) AS sam_percent, count(*) FILTER (WHERE sam_error <> '') AS sam_errors FROM lg"""
 
 
 def o02_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,6 +419,18 @@ def o02_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.contact_sheet(ledger.sample_files(names, 50), 4, "path", "pick").select("doc_id", "path", "position", "pick", "cell_x", "cell_y", "caption")
 
 
+def _positions(n: int) -> str:
+    return ", ".join(f"({n}, {p}, {k})" for k, p in enumerate(random.Random(42).sample(range(n), 50)))
+
+
+#: The seeded sample's positions are fixed numbers for each number of files.
+O02 = f"""WITH {A.PATHS_SQL}, fl AS (SELECT doc_id, path || '-' || doc_id AS path FROM pt),
+od AS (SELECT *, row_number() OVER (ORDER BY lower(path), path) - 1 AS position, count(*) OVER () AS n FROM fl),
+pk(n, position, pick) AS (VALUES {", ".join(_positions(n) for n in (200, 1000, 10000))})
+SELECT doc_id, path, od.position, CAST(pick AS INTEGER) AS pick, CAST(pick % 4 AS INTEGER) AS cell_x, CAST(pick // 4 AS INTEGER) AS cell_y, substr(path, 1, 38) AS caption
+FROM od JOIN pk ON pk.n = od.n AND pk.position = od.position"""
+
+
 def o03_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest hundred runs with their durations as text; the limit is the history's length."""
     h = A.ledger(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "seq", "processing_time")
@@ -422,7 +463,23 @@ def p09_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "region").select("r_regionkey", F.lit(own).alias("fingerprint"), F.sha2(F.concat(F.lit(own), "r_name"), 256).alias("hashed"))
 
 
-P09 = f"SELECT r_regionkey, '{fingerprint(Settings())}' AS fingerprint, sha256('{fingerprint(Settings())}' || r_name) AS hashed FROM region"
+#: The defaults as canonical JSON, written out.
+_CANONICAL = (
+    '{"artifacts":{"analysis_max_size":512,"enabled":true,"hard_combined_max_score":0.85,"hard_combined_score":0.55,"hard_local_agreement_max_score":0.9,"h'
+    'ard_local_agreement_score":0.45,"hard_loose_edge_max_score":0.9,"hard_loose_edge_score":0.6,"hard_residual_max_score":0.9,"hard_residual_score":0.65,"'
+    'hard_structural_score":0.9,"local_signal_weak_score":0.85,"loose_edge_weak_score":0.45,"min_edge_pixels":48,"normal_search_radius":14,"residual_weak_s'
+    'core":0.35},"foreground":{"enabled":true,"method":"pymatting_ml"},"model":{"fallback":"ZhengPeng7/BiRefNet_HR-matting","fallback_image_size":2048,"fal'
+    'lback_revision":"5d6b6f8adcb5b417c871b1d84ceaae9871355b7f","image_size":1024,"precision":"fp16","primary":"ZhengPeng7/BiRefNet-portrait","primary_revi'
+    'sion":"ecdeb6240ef23557dbd48ff27c59c1a88cbcb755"},"qc":{"cropped_bottom_span_ratio":0.28,"cropped_side_span_ratio":0.18,"cropped_top_span_ratio":0.12,'
+    '"edge_band_ratio":0.018,"edge_min_area_ratio":0.0015,"edge_min_span_ratio":0.08,"foreground_threshold":24,"halo_clipped_ratio":0.1,"halo_correction_p9'
+    '5":0.32,"max_components":5,"max_foreground_ratio":0.94,"max_hole_ratio":0.08,"max_translucent_ratio":0.42,"min_component_ratio":0.002,"min_foreground_'
+    'ratio":0.015,"min_person_center_coverage":0.3,"min_person_mask_coverage":0.18,"person_confidence":0.55,"solid_threshold":224},"schema":4,"verification'
+    '":{"enabled":true,"model":"ssdlite320_mobilenet_v3_large","run_on_all":true,"sam_alpha_threshold":24,"sam_boundary_tolerance_ratio":0.006,"sam_enabled'
+    '":true,"sam_mask_confidence":0.8,"sam_min_missing_box_ratio":0.02,"sam_min_person_recall":0.82,"sam_model":"facebook/sam2.1-hiera-small","sam_prompt_c'
+    'onfidence":0.8,"sam_prompt_min_relative_area":0.4,"sam_prompt_overlap_suppression":0.5,"sam_revision":"ee5bba1d82bb8749febdf90f45e84b687142ba03","sam_'
+    'trigger_box_coverage":0.45,"sam_trigger_center_coverage":0.55,"sam_trigger_multiple_coverage":0.6}}'
+)
+P09 = f"WITH c AS (SELECT sha256('{_CANONICAL}') AS fingerprint) SELECT r_regionkey, fingerprint, sha256(fingerprint || r_name) AS hashed FROM region, c"
 
 
 def p03_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,30 +504,31 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(greatest(1, round_ev
 
 
 def a22_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far decontamination moves each edge pixel of every mask."""
+    """How far decontamination moves each edge pixel of every mask, over three channels."""
     p = A.pixels(spark, sf_dir)
-    before = ((F.col("x") * 31 + F.col("y") * 17) % 256).cast("int")
-    after = F.least(F.lit(255), F.greatest(F.lit(0), compose.decontaminate(before.cast("double"), F.lit(220.0), F.col("a") / 255.0)))
-    return compose.correction_metrics(p.select("image_id", F.col("a").alias("alpha"), before.alias("before"), after.alias("after")))
+    a = F.col("a") / 255.0
+    before = [((F.col("x") * 31 + F.col("y") * 17 + 40 * k) % 256) / 255.0 for k in range(3)]
+    moved = [compose.decontaminate(c, F.lit(b / 255.0), a) for c, b in zip(before, (220, 130, 40))]
+    return compose.correction_metrics(p.select("image_id", F.col("a").alias("alpha"), F.array(*before).alias("before"), F.array(*[m[0] for m in moved]).alias("after"), F.array(*[m[1] for m in moved]).alias("estimate")))
 
 
-A22 = f"""WITH {A.PIXELS_SQL}, c AS (SELECT image_id, a, a / 255.0::DOUBLE AS k, (x * 31 + y * 17) % 256 AS c FROM px),
-d AS (SELECT *, least(greatest((c - (1 - k) * 220.0::DOUBLE) / greatest(k, 0.001::DOUBLE), 0), 255) AS pure, 0.85::DOUBLE * (1 - k) * least(greatest(k / 0.12::DOUBLE, 0), 1) AS mix FROM c),
-m AS (SELECT *, least(255, greatest(0, CAST(round_even(c + mix * (pure - c), 0) AS INTEGER))) AS after FROM d WHERE a BETWEEN 8 AND 247)
-SELECT image_id, count(*) AS edge_pixels, round(avg(abs(after - c)), 6) AS mean_correction, round(quantile_cont(abs(after - c), 0.95), 6) AS p95_correction,
-  round(avg(CAST(after IN (0, 255) AS INTEGER)), 6) AS clipped_ratio FROM m GROUP BY image_id"""
+A22 = f"""WITH {A.PIXELS_SQL}, c AS (SELECT image_id, i, a / 255.0::DOUBLE AS k, ((x * 31 + y * 17 + 40 * ch) % 256) / 255.0::DOUBLE AS c, CASE ch WHEN 0 THEN 220 WHEN 1 THEN 130 ELSE 40 END / 255.0::DOUBLE AS b
+    FROM px, (SELECT unnest(range(3)) AS ch) WHERE a BETWEEN 8 AND 247),
+es AS (SELECT *, (c - (1 - k) * b) / greatest(k, 0.12::DOUBLE) AS est, 0.85::DOUBLE * (1 - k) * least(greatest(k / 0.12::DOUBLE, 0), 1) AS mix FROM c),
+m AS (SELECT image_id, i, sqrt(sum(power(c * (1 - mix) + least(greatest(est, 0), 1) * mix - c, 2))) / sqrt(3.0::DOUBLE) AS moved, max(CAST(est < 0 OR est > 1 AS INTEGER)) AS clipped FROM es GROUP BY image_id, i)
+SELECT image_id, count(*) AS edge_pixels, round(avg(moved), 6) AS mean_correction, round(quantile_cont(moved, 0.95), 6) AS p95_correction, round(avg(clipped), 6) AS clipped_ratio FROM m GROUP BY image_id"""
 
 
 def j07_edge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge scores of an analytic cut-out for every nation."""
-    images = A.ellipses(A.table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
+    images = A.leaves(A.table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
     out = edges.artifact_scores(images)
     return out.select("n_nationkey", "edge_pixels", "score_error", *[F.round(F.col(c), 4).alias(c) for c in ("residual", "chromatic", "neutral", "loose", "compact", "hair", "instability", "semantic", "agreement", "total")])
 
 
 def a23_edge_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline ratios of the analytic cut-outs."""
-    out = edges.artifact_diagnostics(A.ellipses(A.table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey"))
+    out = edges.artifact_diagnostics(A.leaves(A.table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey"))
     return out.select("n_nationkey", *[F.round(F.col(c), 4).alias(c) for c in edges.DIAGNOSTICS])
 
 
@@ -486,5 +544,5 @@ QUERIES = {
 ORACLES = {
     "d01_qc_status": D01, "s01_discover": S01, "a01_mask_measures": A01, "a02_components": A02, "a04_holes": A04, "j10_mask_similarity": J10, "i07_composites": I07, "w07_gradients": W07, "w08_texture": W08,
     "j05_box_coverage": J05, "j09_mask_recall": J09, "d03_prompts": D03, "d04_triggers": D04, "d08_severity": D08, "d09_escalation": D09, "j01_resume": J01, "j02_reusable": J02, "j04_offline_validation": J04,
-    "w02_last_rows": W02, "w01_running_mean": W01, "a18_status_counts": A18, "a19_summary": A19, "o03_history": O03, "k05_routes": K05, "p09_fingerprint": P09, "p03_scalars": P03, "a22_corrections": A22,
+    "w02_last_rows": W02, "w01_running_mean": W01, "a18_status_counts": A18, "a19_summary": A19, "o02_sample": O02, "o03_history": O03, "k05_routes": K05, "p09_fingerprint": P09, "p03_scalars": P03, "a22_corrections": A22,
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import uuid
 from collections.abc import Callable, Iterable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,9 @@ from mattelake.functions import scalars
 from mattelake.operators import ledger
 from mattelake.schemas import LEDGER_COLUMNS
 
-DETAILS = ("fast_qc_hard_details", "verification_trigger_details", "review_details", "artifact_hard_details")
+DETAILS = ("fast_qc_hard_details", "verification_trigger_details", "review_details", "artifact_hard_details", "sam_filter_details")
+#: Columns written with four decimals.
+FIXED = ("processing_time", "person_box_coverage_min", "sam_min_recall", "sam_min_iou")
 
 
 def ledger_rows(rows: DataFrame) -> DataFrame:
@@ -29,23 +33,30 @@ def ledger_rows(rows: DataFrame) -> DataFrame:
             return F.coalesce(scalars.joined(c, "; " if name in DETAILS else ";"), F.lit(""))
         if have[name] == "boolean":
             return F.coalesce(F.initcap(c.cast("string")), F.lit(""))
+        if have[name] == "double" and (name in FIXED or (name.startswith("artifact_") and name.endswith("_score"))):
+            return F.coalesce(F.format_string("%.4f", c), F.lit(""))
         return F.coalesce(c.cast("string"), F.lit(""))
 
     return rows.select(*[text(c).alias(c) for c in LEDGER_COLUMNS])
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """Adds a run's rows as new part files; the committer makes them visible at once."""
-    ledger_rows(rows).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    """Adds a run's rows as new part files, with the run's time and row numbers; the committer makes them visible at once."""
+    now = datetime.now(UTC).isoformat(timespec="microseconds")
+    stamped = ledger_rows(rows).withColumns({"run_at": F.lit(now), "row_no": F.monotonically_increasing_id().cast("string")})
+    stamped.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
-def replace_file(path: str, body: bytes) -> None:
+def replace_file(path: str, body: bytes | Callable) -> None:
     """Writes a local file through a temporary one beside it, so readers see the old or the new."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
     try:
         with open(part, "wb") as f:
-            f.write(body)
+            if callable(body):
+                body(f)
+            else:
+                f.write(body)
             f.flush()
             os.fsync(f.fileno())
         os.replace(part, path)
@@ -55,20 +66,22 @@ def replace_file(path: str, body: bytes) -> None:
 
 
 def export_ledger(rows: DataFrame, path: str) -> None:
-    """One CSV file with a byte-order mark, streamed to the driver's disk a partition at a time."""
+    """One local CSV file with a byte-order mark, written row by row; the driver holds one partition at a time."""
     import csv
-    import io
 
-    out = io.StringIO(newline="")
-    writer = csv.writer(out)
-    writer.writerow(LEDGER_COLUMNS)
-    for row in ledger_rows(rows).toLocalIterator():
-        writer.writerow(list(row))
-    replace_file(path, b"\xef\xbb\xbf" + out.getvalue().encode())
+    def body(f) -> None:
+        f.write(b"\xef\xbb\xbf")
+        text = io.TextIOWrapper(f, encoding="utf-8", newline="", write_through=True)
+        writer = csv.writer(text)
+        writer.writerow(LEDGER_COLUMNS)
+        writer.writerows(ledger_rows(rows).toLocalIterator())
+        text.detach()
+
+    replace_file(path, body)
 
 
 def write_summary(rows: DataFrame, path: str, **extra) -> dict:
-    body = ledger.summary(rows).first().asDict() | extra
+    body = ledger.summary(rows).first().asDict() | {"stopped": False} | extra
     replace_file(path, json.dumps(body, ensure_ascii=False, indent=2).encode())
     return body
 

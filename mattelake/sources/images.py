@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -113,36 +115,129 @@ def orient(img: np.ndarray, tag: int) -> np.ndarray:
     return img
 
 
-def decode(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with height, width, n_channels, data (RGB) and error, by an Arrow kernel for PNG.
-
-    Undecodable contents give nulls and the reason; they become FAILED rows later.
+def exif_orientation(data: bytes) -> int:
+    """The orientation tag, 1 to 8, in the EXIF part of a JPEG, PNG or WebP file's beginning; 1 where there is none."""
+    at = -1
+    if data[:2] == b"\xff\xd8":
+        pos = 2
+        while pos + 4 <= len(data) and data[pos] == 0xFF and data[pos + 1] not in (0xD9, 0xDA):
+            size = int.from_bytes(data[pos + 2 : pos + 4], "big")
+            if data[pos + 1] == 0xE1 and data[pos + 4 : pos + 10] == b"Exif\0\0":
+                at = pos + 10
+                break
+            pos += 2 + size
+    elif data[:8] == b"\x89PNG\r\n\x1a\n":
+        found = data.find(b"eXIf")
+        at = found + 4 if found > 0 else -1
+    elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        found = data.find(b"EXIF")
+        at = found + 8 if found > 0 else -1
+        at += 6 if data[at : at + 6] == b"Exif\0\0" else 0
+    if at < 0 or data[at : at + 2] not in (b"II", b"MM"):
+        return 1
+    order = "little" if data[at : at + 2] == b"II" else "big"
+    entries = at + int.from_bytes(data[at + 4 : at + 8], order)
+    for k in range(int.from_bytes(data[entries : entries + 2], order)):
+        entry = data[entries + 2 + 12 * k : entries + 14 + 12 * k]
+        if int.from_bytes(entry[:2], order) == 0x0112:
+            tag = int.from_bytes(entry[8:10], order)
+            return tag if 1 <= tag <= 8 else 1
+    return 1
+
+
+Decoder = Callable[[bytes], np.ndarray]
+
+
+def decode(files: DataFrame, content: str = "content", decoders: dict[str, Decoder] | None = None, path: str = "path") -> DataFrame:
+    """files with height, width, n_channels, data (RGB, turned upright) and error, by an Arrow kernel.
+
+    PNG is read here. ``decoders`` maps further suffixes to functions of a file's bytes that give its samples
+    (height, width, channels). Undecodable contents give nulls and the reason; they become FAILED rows later.
     """
     keep = [c for c in files.columns if c != content]
+    known = {".png": read_png} | (decoders or {})
 
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
                 row, out = b.slice(k, 1), (None, None, None, None, "no content")
                 raw = row.column(content)[0].as_py()
+                name = row.column(path)[0].as_py() if path in b.schema.names else ""
                 try:
                     if raw is not None:
-                        img = as_rgb(read_png(raw))
+                        read = read_png if raw[:4] == b"\x89PNG" else known.get("." + (name or "").rsplit(".", 1)[-1].lower(), read_png)
+                        img = np.ascontiguousarray(orient(as_rgb(read(raw)), exif_orientation(raw)))
                         out = (img.shape[0], img.shape[1], 3, img.tobytes(), None)
-                except (ValueError, KeyError, UnboundLocalError, zlib.error, struct.error) as e:
+                except Exception as e:  # whatever a decoder raises is the image's own error
                     out = (None, None, None, None, str(e) or type(e).__name__)
                 cols = [pa.array([v], t) for v, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(row.column(c) for c in keep), *cols], names=[*keep, "height", "width", "n_channels", "data", "error"])
 
-    schema = extend(files.select(*keep).schema, "height int, width int, n_channels int, data binary, error string")
+    schema = extend(files.select(*keep).schema, IMAGE_FIELDS)
     return files.select(*keep, content).mapInArrow(run, schema)
 
 
-def decode_with_jvm(spark: SparkSession, root: str) -> DataFrame:
-    """JPEG, PNG, BMP and GIF through Spark's own image source: (path, height, width, n_channels, data in BGR order, error)."""
+IMAGE_FIELDS = "height int, width int, n_channels int, data binary, error string"
+JVM_SUFFIXES = (".jpg", ".jpeg", ".bmp", ".gif")
+#: Bytes at a file's beginning in which its EXIF part is looked for.
+HEAD = 1 << 17
+
+
+def _head(uri: str) -> bytes:
+    """The beginning of a file by its (percent-encoded) URI, in whatever file system it is."""
+    if uri.startswith("file:"):
+        with open("/" + unquote(uri[5:]).lstrip("/"), "rb") as f:
+            return f.read(HEAD)
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(quote(uri, safe=":/%?=&+@"))
+    with where.open_input_stream(name) as f:
+        return f.read(HEAD)
+
+
+def decode_with_jvm(spark: SparkSession, root: str, suffixes: tuple[str, ...] = JVM_SUFFIXES) -> DataFrame:
+    """JPEG, BMP and GIF under root through Spark's own image source: path, then the fields of ``decode``, in RGB and upright.
+
+    The orientation is read from each file's beginning on the executor that has its pixels, so no image moves.
+    """
     img = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").load(root).select("image.*")
-    bad = F.col("height") < 0
-    return img.select(F.url_decode("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data", F.when(bad, "cannot be decoded").alias("error"))
+    img = img.withColumn("path", F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))).where(scalars.suffix(F.col("path")).isin(*suffixes))
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                out = (None, None, None, None, "cannot be decoded")
+                if row["height"] > 0:
+                    bgr = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"])
+                    rgb = bgr[..., 2::-1] if row["nChannels"] >= 3 else as_rgb(bgr)
+                    try:
+                        tag = exif_orientation(_head(row["origin"]))
+                    except (OSError, ValueError):  # pixels without a readable file stay as they are
+                        tag = 1
+                    rgb = np.ascontiguousarray(orient(rgb, tag))
+                    out = (rgb.shape[0], rgb.shape[1], 3, rgb.tobytes(), None)
+                cols = [pa.array([v], t) for v, t in zip((row["path"], *out), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["path", "height", "width", "n_channels", "data", "error"])
+
+    return img.mapInArrow(run, f"path string, {IMAGE_FIELDS}")
+
+
+def read_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = Settings().extensions, decoders: dict[str, Decoder] | None = None) -> DataFrame:
+    """(source_file, height, width, n_channels, data, error) of all images under root, whatever their kind.
+
+    JPEG goes through the JVM, PNG and the suffixes of ``decoders`` (WebP, for one) through ``decode``; each
+    file is read by one of the two. A suffix that neither knows gives an error row.
+    """
+    jvm = tuple(e for e in extensions if e in JVM_SUFFIXES and e not in (decoders or {}))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rest = tuple(e for e in extensions if e not in jvm)
+    own = decode(files.where(scalars.is_image(F.col("path"), rest)).select("path", "content"), decoders=decoders)
+    base = root.rstrip("/") + "/"
+    both = own.unionByName(decode_with_jvm(spark, root, jvm)) if jvm else own
+    at = F.locate(base, F.col("path"))
+    relative = F.when(at > 0, F.substr(F.col("path"), at + len(base))).otherwise(F.col("path"))
+    return both.select(relative.alias("source_file"), "height", "width", "n_channels", "data", "error")
 
 
 def locate_cutouts(originals: DataFrame, ready: DataFrame, review: DataFrame) -> DataFrame:

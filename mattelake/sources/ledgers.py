@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mattelake.operators import ledger
-from mattelake.schemas import HISTORY, LEDGER
+from mattelake.schemas import HISTORY, LEDGER, LEDGER_COLUMNS, RUN_COLUMNS
 
 
 def read_ledger(spark: SparkSession, path: str, fingerprint: str | None = None) -> DataFrame:
     """The last row of each source file, as text columns; of one fingerprint only if one is given.
 
-    The file has a header, may start with a byte-order mark and may hold line breaks in quotes.
+    A file or a folder of files: with a header, perhaps a byte-order mark and line breaks in quotes. Columns
+    go by the header, whatever their order; those it lacks are null. Of rows of one source file the last
+    is that of the latest run (``run_at``, which appended files have), then of the latest file, then the
+    last in its file.
     """
-    raw = spark.read.schema(LEDGER).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True).csv(path)
-    # A ledger file is one run's; its rows come in file order within one split.
-    placed = raw.withColumn("_line", F.monotonically_increasing_id())
-    return ledger.with_fingerprint(ledger.last_rows(placed, "source_file", "_line"), fingerprint).drop("_line", "first_position")
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    header = reader.csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    raw = reader.schema(schema).option("enforceSchema", True).csv(path)
+    have = {c: F.col(c) if c in header else F.lit(None).cast("string") for c in (*LEDGER_COLUMNS, *RUN_COLUMNS)}
+    # A file with line breaks in quotes is read by one task, so this number rises within it.
+    place = F.struct(F.coalesce(have["run_at"], F.lit("")), F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    placed = raw.select(*[c.alias(n) for n, c in have.items() if n in LEDGER_COLUMNS], place.alias("_place"))
+    return ledger.with_fingerprint(ledger.last_rows(placed, "source_file", "_place"), fingerprint).drop("_place", "first_position")
 
 
 def read_ledger_or_none(spark: SparkSession, path: str, fingerprint: str | None = None) -> DataFrame:

@@ -75,10 +75,29 @@ def test_colliding_outputs(spark):
     assert got == {"d/a.jpg": "d/a.png", "d/a.png": "d/a~2.png", "d.x/b": "d.x/b.png"}
 
 
+def test_later_runs_win_whatever_their_size(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    columns = "source_file string, status string"
+    reports.append_ledger(spark.createDataFrame([("a.jpg", "FAILED"), ("b.jpg", "READY")], columns).repartition(2), path)
+    many = [(f"{k}.jpg", "READY") for k in range(300)]
+    reports.append_ledger(spark.createDataFrame([*many, ("a.jpg", "READY")], columns).repartition(4), path)
+    reports.append_ledger(spark.createDataFrame([("b.jpg", "REVIEW")], columns), path)
+    got = {r["source_file"]: r["status"] for r in ledgers.read_ledger(spark, path).collect()}
+    assert got["a.jpg"] == "READY" and got["b.jpg"] == "REVIEW" and len(got) == 302
+
+
+def test_columns_go_by_the_header(spark, tmp_path):
+    path = tmp_path / "other.csv"
+    path.write_text("status,source_file,unknown\nREADY,a.jpg,1\nFAILED,a.jpg,2\n", encoding="utf-8-sig")
+    r = ledgers.read_ledger(spark, str(path)).first()
+    assert (r["source_file"], r["status"], r["width"]) == ("a.jpg", "FAILED", None) and "unknown" not in r.asDict()
+
+
 def test_settings(tmp_path):
     path = tmp_path / "c.json"
-    path.write_text(json.dumps({"mask": {"foreground": 30, "unknown": 1}, "extensions": [".JPG"], "nonsense": 2}))
+    path.write_text(json.dumps({"qc": {"foreground_threshold": 30, "unknown": 1}, "artifacts": {"hard_residual_max_score": 0.8}, "verification": {"sam_enabled": False}, "extensions": [".JPG"], "nonsense": 2}))
     s = config.load(str(path))
-    assert s.mask.foreground == 30 and s.extensions == (".jpg",) and config.load(str(tmp_path / "no.json")) == config.Settings()
+    assert s.mask.foreground == 30 and s.edges.hard_residual == (0.65, 0.8) and not s.verify.enabled and s.extensions == (".jpg",)
+    assert config.load(str(tmp_path / "no.json")) == config.Settings() and config.overlay(config.Settings(), config.file_form(config.Settings())) == config.Settings()
     assert config.fingerprint(s) != config.fingerprint(config.Settings()) and len(config.fingerprint(s)) == 64
-    assert config.fingerprint(config.Settings(preview_cell=7)) == config.fingerprint(config.Settings())
+    assert config.fingerprint(config.overlay(config.Settings(), {"preview": {"width": 7}, "edge": {"enabled": True}})) == config.fingerprint(config.Settings())

@@ -43,6 +43,7 @@ def test_every_branch_occurs(spark, sf_dir):
 
     assert seen("d01_qc_status", "status") == {"READY", "REVIEW"}
     assert seen("d09_escalation", "sam_result") == {"hard_review", "error", "incomplete", "disagreement", "confirmed", "unavailable", "not_requested"}
+    assert seen("d08_severity", "severity") == {"none", "telemetry", "weak", "hard"}
     assert seen("d03_prompts", "branch") >= {"low_score", "supported", "duplicate", "significant", "small"}
 
 
@@ -51,3 +52,23 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_the_training_data_operators():
+    """The entry answers with the engine's queries alone where the subpackage cannot be imported."""
+    import subprocess
+    import sys
+
+    code = """
+import sys
+class Blocked:
+    def find_spec(self, name, path=None, target=None):
+        if name == "mattelake.llm" or name.startswith("mattelake.llm."):
+            raise ModuleNotFoundError(f"No module named {name!r}")
+sys.meta_path.insert(0, Blocked())
+import __spark_entry__ as e
+assert "d01_qc_status" in e.queries() and not [n for n in e.queries() if n.startswith("op") or n == "pipeline"]
+assert set(e.oracle_sql()) <= set(e.queries())
+"""
+    root = __file__.rsplit("/", 2)[0]
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=120)

@@ -55,7 +55,7 @@ def test_empty_full_and_torn_masks_are_hard(judged):
     for name in ("empty", "speck", "full", "many", "null"):
         assert judged[name]["hard_reasons"] == ["mask_issue"], name
         assert len(judged[name]["hard_details"]) >= 1
-    assert judged["many"]["hard_details"] == ["7 separate parts"]
+    assert judged["many"]["hard_details"] == ["7 significant disconnected components"]
 
 
 def test_hole_is_a_trigger(judged):

@@ -9,6 +9,7 @@ driver holds one number for each partition.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 import zlib
@@ -32,7 +33,8 @@ SPREAD = 8.0
 ORDER = ("key", "doc_id", "tie", "row")
 CACHED_WORDS = 300_000
 CACHED_CHARS = 8_000_000
-ROWS_AT_ONCE = 256
+#: Bounds of the texts that are taken together; a longer text is taken alone.
+ROWS_AT_ONCE, CHARS_AT_ONCE = 256, 2_000_000
 #: Characters that composition, lower-casing in context or unusual white space may treat otherwise.
 BEYOND = re.compile("[\u0300-\U0010ffff]")
 UNSTEADY = re.compile("[^\x00-\u02ff\u0400-\u04ff\u2010-\u2027\u2030-\u205e\u4e00-\u9fff\uac00-\ud7a3]")
@@ -46,6 +48,7 @@ def default_tokenizer() -> str:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would each hold memory
     return Tokenizer.from_file(path)
 
 
@@ -170,10 +173,15 @@ class WordIds(dict):
         return out
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """One cache for all tasks of a Python worker."""
-    return WordIds(path)
+def _groups(texts: list[str]) -> list[slice]:
+    """Runs of texts of at most ``ROWS_AT_ONCE`` texts and ``CHARS_AT_ONCE`` characters, or of one text."""
+    out, lo, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and (i - lo == ROWS_AT_ONCE or held + len(t) > CHARS_AT_ONCE):
+            out.append(slice(lo, i))
+            lo, held = i, 0
+        held += len(t)
+    return [*out, slice(lo, len(texts))] if texts else []
 
 
 def projection(size: int, dims: int = DIMS, hashed: int = HASHED) -> np.ndarray:
@@ -219,13 +227,15 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, tie, key, n, ids): ids as 16- or 32-bit words, with the separator at the end; tie hashes the text."""
 
     def run(batches):
-        words, kind = word_ids(path), f"<u{id_bytes(path)}"
+        # Each task has its own cache, so that workers that wait hold none.
+        words, kind = WordIds(path), f"<u{id_bytes(path)}"
         table = projection(max(words.tok.get_vocab_size(), SEPARATOR + 1))
         for b in batches:
-            for lo in range(0, b.num_rows, ROWS_AT_ONCE):
-                part = b.slice(lo, ROWS_AT_ONCE)
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for group in _groups(texts):
+                part = b.slice(group.start, group.stop - group.start)
                 ids, mid = [], np.empty((part.num_rows, DIMS))
-                for i, own in enumerate(words.encode([t or "" for t in part.column("text").to_pylist()])):
+                for i, own in enumerate(words.encode(texts[group])):
                     own = np.append(own, np.uint32(SEPARATOR))
                     mid[i] = table[own].mean(axis=0)
                     ids.append(own.astype(kind).tobytes())

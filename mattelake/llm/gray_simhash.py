@@ -83,21 +83,29 @@ class GrayIndex:
             above = self.levels[k + 1][0][np.arange(len(m)) // fan] if k + 1 < len(self.levels) else np.uint64(0)
             self.fresh.append(m & ~above)
 
-    def search(self, queries: np.ndarray, radius: int = RADIUS, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query position, leaf position) of all leaves whose bound is within the radius, block by block."""
+    def search(self, queries: np.ndarray, radius: int = RADIUS, block: int = 2048, planes: tuple[np.ndarray, ...] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query position, leaf position) of all leaves whose bound is within the radius, block by block.
+
+        A differing bit counts 1, or with ``planes`` its weight for that query, whose binary digits they are.
+        """
         if not len(self.levels[0][0]):
             return
         for lo in range(0, len(queries), block):
             words = queries[lo : lo + block]
             q, node = np.arange(len(words)), np.zeros(len(words), np.int64)
-            gone = np.zeros(len(words), np.uint8)
+            gone = np.zeros(len(words), np.uint8 if planes is None else np.uint16)
+            digits = [p[lo : lo + block] for p in planes or ()]
             for k in range(len(self.levels) - 1, -1, -1):
                 if k < len(self.levels) - 1:
                     q, gone = np.repeat(q, self.fan), np.repeat(gone, self.fan)
                     node = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
                     there = node < len(self.levels[k][0])
                     q, node, gone = q[there], node[there], gone[there]
-                gone = gone + np.bitwise_count((words[q] ^ self.levels[k][1][node]) & self.fresh[k][node])
+                differ = (words[q] ^ self.levels[k][1][node]) & self.fresh[k][node]
+                if planes is None:
+                    gone = gone + np.bitwise_count(differ)
+                for b, digit in enumerate(digits):
+                    gone = gone + (np.bitwise_count(differ & digit[q]).astype(np.uint16) << np.uint16(b))
                 near = gone <= radius
                 q, node, gone = q[near], node[near], gone[near]
             yield q + lo, node

@@ -9,6 +9,20 @@ from mattelake.llm import gray_simhash, near_copies
 from mattelake.llm.components import local_stars
 
 
+@pytest.mark.parametrize("bits", [20, 24, 28])
+def test_radius_keeps_pairs_at_the_threshold(bits):
+    """From one side or the other in one of the four words."""
+    rng = np.random.default_rng(bits)
+    lost = 0
+    for _ in range(3000):
+        h = rng.integers(0, 2**64, 200, np.uint64)
+        (a, x), (b, y) = near_copies.fingerprint(h[:180]), near_copies.fingerprint(np.concatenate([h[:160], h[180:]]))
+        cost = [sum(np.bitwise_count((a ^ b) & p).astype(int) << k for k, p in enumerate(near_copies._planes(d[::2], d[1::2], bits))) for d in (x, y)]
+        lost += bool(np.minimum(*cost).min() > bits // near_copies.BITS_A_UNIT)
+    assert lost <= 3
+    assert near_copies.weighed_bits(1 << (bits - 1)) == bits
+
+
 @pytest.mark.parametrize("sizes", [(8, 1), (80, 10), (720, 90), (160, 40)])
 def test_index_alone_finds_pairs_at_the_threshold(spark, sizes):
     """Pairs at similarity 0.8 among unrelated sets: each adds its own shingles, or the larger one does."""

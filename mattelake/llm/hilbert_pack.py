@@ -13,7 +13,9 @@ import os
 import re
 import unicodedata
 import zlib
+from collections import defaultdict
 from functools import lru_cache
+from itertools import compress, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +87,15 @@ def word_rule(path: str) -> tuple[re.Pattern, regex.Pattern, np.ndarray] | None:
     return re.compile(plain), regex.compile(rule), ends
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> Tokenizer:
+    """The tokenizer for words found by ``word_rule``, normalised already: it parts them at spaces instead of searching for them again."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"], spec["pre_tokenizer"]["pretokenizers"][0] = None, {"type": "CharDelimiterSplit", "delimiter": " "}
+    return Tokenizer.from_str(json.dumps(spec))
+
+
 def _gathered(ids: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of some rows of a ragged list behind each other, and each row's size."""
     start = ends[rows]
@@ -93,8 +104,8 @@ def _gathered(ids: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return ids[np.arange(int(size.sum())) + np.repeat(start - before, size)], size
 
 
-class WordIds(dict):
-    """Word in lower case -> number; words not met before wait until ``settle``.
+class WordIds(defaultdict):
+    """Word in lower case -> number, in the order in which words are met; new words have no ids until ``settle``.
 
     A text's ids are its words' ids in a row. Words are found by the tokenizer's own pattern and go to it
     joined by spaces, many in one call; the ids that end a word tell them apart. Texts with characters
@@ -103,71 +114,69 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        self.tok, self.rule, self.fresh, self.origin, self.chars = tokenizer(path), word_rule(path), [], [], 0
+        super().__init__(count().__next__)
+        self.tok, self.rule, self.chars = tokenizer(path), word_rule(path), 0
+        self.word_tok = word_tokenizer(path) if self.rule else self.tok
         self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
         self.old, self.old_ids, self.old_ends = {}, self.ids, self.ends
 
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.fresh.append(word)
-        self.origin.append(self.old.get(word, -1))
-        self.chars += len(word)
-        return at
-
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str], tok: Tokenizer) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _looked_up(self, words: list[str], step: int = 400) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words behind each other, and where each word's end."""
         ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         groups = [words[lo : lo + step] for lo in range(0, len(words), step)]
-        for group, own in zip(groups, self._encoded([" ".join(g) for g in groups])):
+        for group, own in zip(groups, self._encoded([" ".join(g) for g in groups], self.word_tok)):
             cut = np.flatnonzero(self.rule[2][own]) + 1
             if len(cut) != len(group) or cut[-1] != len(own):  # not told apart: one by one
-                each = self._encoded(group)
+                each = self._encoded(group, self.word_tok)
                 own, cut = np.concatenate(each), np.cumsum([len(e) for e in each])
             ids.append(own)
             sizes.append(np.diff(cut, prepend=0))
         return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
 
     def settle(self) -> None:
-        """Gives the waiting words their ids: from the older half of the cache, else from the tokenizer."""
-        if not self.fresh:
+        """Gives the new words their ids: from the older half of the cache, else from the tokenizer."""
+        waiting = len(self) + 1 - len(self.ends)
+        if not waiting:
             return
-        origin = np.array(self.origin)
-        ids, ends = self._looked_up([w for w, o in zip(self.fresh, self.origin) if o < 0])
+        fresh = list(islice(reversed(self), waiting))[::-1]
+        self.chars += sum(map(len, fresh))
+        origin = np.fromiter(map(self.old.get, fresh, repeat(-1)), np.int64, waiting)
+        ids, ends = self._looked_up(list(compress(fresh, (origin < 0).tolist())))
         rows = np.where(origin >= 0, origin, len(self.old_ends) - 2 + np.cumsum(origin < 0))
         all_ids, all_ends = np.concatenate([self.old_ids, ids]), np.concatenate([self.old_ends, self.old_ends[-1] + ends])
         own, size = _gathered(all_ids, all_ends, rows)
         self.ids = np.concatenate([self.ids, own])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-        self.fresh, self.origin = [], []
 
     def _relax(self) -> None:
         """Past half of the bound the words become the older half, and the half before goes."""
         if 2 * len(self) > CACHED_WORDS or 2 * self.chars > CACHED_CHARS:
             self.old, self.old_ids, self.old_ends = dict(self), self.ids, self.ends
             self.clear()
+            self.default_factory = count().__next__
             self.chars, self.ids, self.ends = 0, self.ids[:0].copy(), np.zeros(1, np.int64)
 
-    def expand(self, numbers: np.ndarray) -> np.ndarray:
-        return _gathered(self.ids, self.ends, numbers)[0]
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        rows, whole = [], []
+        out, own, sizes, whole = [None] * len(texts), [], [], []
         for i, t in enumerate(texts):
             if self.rule is None or "<|" in t or not (t.isascii() or not UNSTEADY.search(t)):
                 whole.append(i)
-                rows.append(None)
+                sizes.append(0)
             else:
                 low = t.lower()
                 words = self.rule[0 if low.isascii() or not BEYOND.search(low) else 1].findall(low)
-                rows.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+                own.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+                sizes.append(len(words))
         self.settle()
-        out = [None if r is None else self.expand(r) for r in rows]
-        for i, ids in zip(whole, self._encoded([texts[i] for i in whole])):
+        if own:
+            ids, size = _gathered(self.ids, self.ends, np.concatenate(own))
+            ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *sizes])].tolist()
+            out = [ids[lo:hi] for lo, hi in zip(ends, ends[1:])]
+        for i, ids in zip(whole, self._encoded([texts[i] for i in whole], self.tok)):
             out[i] = ids
         self._relax()
         return out
@@ -228,21 +237,24 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         # Each task has its own cache, so that workers that wait hold none.
-        words, kind = WordIds(path), f"<u{id_bytes(path)}"
+        words, width, stop = WordIds(path), id_bytes(path), np.array([SEPARATOR], np.uint32)
+        kind = f"<u{width}"
         table = projection(max(words.tok.get_vocab_size(), SEPARATOR + 1))
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             for group in _groups(texts):
                 part = b.slice(group.start, group.stop - group.start)
-                ids, mid = [], np.empty((part.num_rows, DIMS))
-                for i, own in enumerate(words.encode(texts[group])):
-                    own = np.append(own, np.uint32(SEPARATOR))
-                    mid[i] = table[own].mean(axis=0)
-                    ids.append(own.astype(kind).tobytes())
+                own = words.encode(texts[group])
+                size = np.array([len(x) + 1 for x in own])
+                ids = np.concatenate([x for each in own for x in (each, stop)])
+                ends = np.cumsum([0, *size])
+                points, cut = table[ids], ends.tolist()
+                mid = (np.array([np.add.reduce(points[lo:hi], axis=0) for lo, hi in zip(cut, cut[1:])], np.float64) / size[:, None]).astype(np.float32).astype(np.float64)
                 unit = 0.5 + 0.5 * np.tanh(SPREAD * mid)
                 keys = hilbert_key(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
+                packed = [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(ids.astype(kind))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("tie"), pa.array(keys), pa.array([len(i) // id_bytes(path) for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [part.column("doc_id"), part.column("tie"), pa.array(keys), pa.array(size, pa.int64()), pa.Array.from_buffers(pa.binary(), len(size), packed)],
                     names=["doc_id", "tie", "key", "n", "ids"],
                 )
 

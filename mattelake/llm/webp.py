@@ -108,10 +108,12 @@ def _read_code(bits: Bits, size: int) -> Code:
         lengths[: min(size, left)] = inner.table[0] >> 5
         return _code(lengths.tobytes())
     table, mask, data, pos, word, own = inner.table.tolist(), (1 << inner.width) - 1, bits.data, bits.at, int.from_bytes, []
-    while len(own) < size and left:
+    window, room = 0, 0
+    while left and len(own) < size:
         left -= 1
-        lo = pos >> 3
-        window = word(data[lo : lo + 4], "little") >> (pos & 7)
+        if room < 14:  # a code of up to 7 bits and up to 7 more
+            lo = pos >> 3
+            window, room = word(data[lo : lo + 8], "little") >> (pos & 7), 57
         v = table[window & mask]
         k, used = v >> 5, v & 31
         if k < 16:
@@ -124,6 +126,8 @@ def _read_code(bits: Bits, size: int) -> Code:
             if len(own) + n > size:
                 raise WebPError("code lengths run over")
             own += [last if k == 16 else 0] * n
+        window >>= used
+        room -= used
         pos += used
     bits.at = pos
     if pos > bits.end:
@@ -165,7 +169,7 @@ def _pixels_serial(bits: Bits, groups, group_of, total: int, xsize: int, cache_b
     data, pos, end = bits.data, bits.at, bits.end
     out: list[int] = []
     filled, at, word, shift = 0, 0, int.from_bytes, 32 - cache_bits
-    window, left, until = 0, 0, 0
+    window, held, left, until = 0, 0, 0, 0
 
     while at < total:
         if at >= until:
@@ -173,8 +177,12 @@ def _pixels_serial(bits: Bits, groups, group_of, total: int, xsize: int, cache_b
             ((green, gm), (red, rm), (blue, bm), (alpha, am), (dist, dm)), base_color = tables[g], fixed[g]
         # No symbol has more bits than 72: four codes of up to 15, or two with up to 14 and 18 more bits.
         if left < 72:
+            pos += held - left
+            if pos > end:
+                raise WebPError("the stream ends early")
             lo = pos >> 3
-            window, left = word(data[lo : lo + 40], "little") >> (pos & 7), 313
+            window, held = word(data[lo : lo + 40], "little") >> (pos & 7), 313
+            left = held
         v = green[window & gm]
         used, s = v & 31, v >> 5
         if s < 256:
@@ -216,10 +224,9 @@ def _pixels_serial(bits: Bits, groups, group_of, total: int, xsize: int, cache_b
             at += 1
         window >>= used
         left -= used
-        pos += used
-        if pos > end:
-            raise WebPError("the stream ends early")
-    bits.at = pos
+    bits.at = pos + held - left
+    if bits.at > end:
+        raise WebPError("the stream ends early")
     return np.array(out, np.uint32)
 
 
@@ -588,10 +595,11 @@ def code_lengths(counts: np.ndarray, longest: int = 15) -> np.ndarray:
         order = np.argsort(weight, kind="stable")
         w = weight[order].tolist()
         n = len(w)
-        parent, merged, i, j = [0] * (2 * n - 1), [], 0, 0
+        # Where leaves or merged nodes are at an end, they weigh more than any other.
+        parent, merged, i, j = [0] * (2 * n - 1), [never] * (n + 1), 0, 0
         w += [never, never]
         for k in range(n, 2 * n - 1):
-            a, b = (merged[j] if j < len(merged) else never), w[i]
+            a, b = merged[j], w[i]
             if b <= a:
                 parent[i] = k
                 i += 1
@@ -599,15 +607,15 @@ def code_lengths(counts: np.ndarray, longest: int = 15) -> np.ndarray:
             else:
                 parent[n + j] = k
                 j += 1
-                pair, a = a, (merged[j] if j < len(merged) else never)
+                pair, a = a, merged[j]
             if b <= a:
                 parent[i] = k
                 i += 1
-                merged.append(pair + b)
+                merged[k - n] = pair + b
             else:
                 parent[n + j] = k
                 j += 1
-                merged.append(pair + a)
+                merged[k - n] = pair + a
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -631,10 +639,12 @@ def codes(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _run_lengths(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, extra, extra bits) of code lengths, with runs of eleven zeros or more as one token."""
-    edge = np.flatnonzero(np.diff(lengths > 0, prepend=True, append=True))
-    zeros = [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a > 10]
+def _run_lengths(lengths: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, extra, extra bits) of code lengths up to the last one of ``used``, with runs of eleven zeros or more as one token."""
+    before = np.empty(len(used), np.int64)
+    before[0], before[1:] = -1, used[:-1]
+    wide = np.flatnonzero(used - before > 11)
+    zeros = zip((before[wide] + 1).tolist(), used[wide].tolist()) if len(wide) else ()
     extra, size = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     if not zeros:
         return lengths, extra, size
@@ -679,7 +689,7 @@ class Writer:
             self.many(np.array([1, 0, 1, s]), np.array([1, 1, 1, 8]))
             return np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         n = max(2, int(used[-1]) + 1)
-        tokens, extra, extra_size = _run_lengths(lengths[:n])
+        tokens, extra, extra_size = _run_lengths(lengths[:n], used)
         inner = code_lengths(np.bincount(tokens, minlength=19), 7)
         last = max(4, max(i + 1 for i, k in enumerate(LENGTH_ORDER) if inner[k]))
         self.many(np.array([0, last - 4]), np.array([1, 4]))

@@ -48,3 +48,26 @@ def test_references_reach_far_and_up():
     copies = webp._matches(img.ravel(), 40, 3)
     assert copies == [(440, 40, 440), (480, 40, 40)]
     assert (webp.decode(webp.encode(img)) == img).all() and len(webp.encode(img)) < 4 * 440 + 1500
+
+
+def test_code_lengths_by_repeats_across_windows():
+    """Repeat tokens of all kinds, which the own encoder does not write, with their extra bits at any place of a window."""
+    inner = np.zeros(19, np.int64)
+    inner[[8, 16, 17, 18]] = 2
+    code, size = webp.codes(inner), dict.fromkeys((8, 16, 17, 18), 2)
+    w, left = webp.Writer(), 255
+    w.many(np.array([0, 19 - 4]), np.array([1, 4]))
+    w.many(inner[list(webp.LENGTH_ORDER)], np.full(19, 3))
+    w.put(0, 1)
+    tokens = [(8, 0, 0)]
+    while left:
+        n = min(3 + left % 4, left) if left > 8 else min(left, 6) if left in (3, 4, 5, 6) else 3 if left > 5 else 0
+        tokens.append((16, n - 3, 2) if n else (8, 0, 0))
+        left -= n or 1
+    for k, extra, more in [*tokens, (17, 7, 3), (18, 3, 7)]:
+        w.put(int(code[k]), size[k])
+        w.put(extra, more)
+    bits = webp.Bits(w.bytes())
+    got = webp._read_code(bits, 280)
+    assert (got.table == webp.Code(np.concatenate([np.full(256, 8), np.zeros(24, np.int64)])).table).all()
+    assert 0 <= bits.end - bits.at < 8

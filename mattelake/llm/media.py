@@ -23,8 +23,9 @@ from mattelake.llm.common import materialise, spread
 UNIT = 64
 #: A payload's rows are this wide, and wider only where an image would grow taller than the format allows.
 ROW = 256
-ROWS_AT_ONCE = 1024
-PIXELS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 4096
+PIXELS_AT_ONCE = 1 << 22
+WRITTEN_AT_ONCE = 1 << 17
 
 
 def padded(raw: bytes) -> bytes:
@@ -60,21 +61,26 @@ def form_of(payload: bytes) -> str | None:
     return FORMS[zlib.crc32(payload) % len(FORMS)] if len(payload) > UNIT else None
 
 
-def _rich(payload: bytes, form: str) -> bytes:
-    """A payload as an image of four samples a pixel (three for none: alpha is one of them), as square as its waves allow."""
-    pixels = np.frombuffer(payload, "<u4")
+def _square(n: int) -> tuple[int, int]:
+    """(height, width) of n pixels of four samples, n a multiple of 16: as square as the predictors' waves allow."""
     width = 16
-    while pixels.size % (2 * width) == 0 and width * width < 2 * pixels.size and width < webp.MAX_SIDE // 2:
+    while n % (2 * width) == 0 and width * width < 2 * n and width < webp.MAX_SIDE // 2:
         width *= 2
-    image = pixels.reshape(-1, width)
+    return n // width, width
+
+
+def _rich(payloads: list[bytes], form: str) -> list[bytes]:
+    """Payloads as images of four samples a pixel, or grey ones of one sample for the palette (alpha is one of the four)."""
+    raw = b"".join(payloads)
+    if form == "palette":
+        stack, grey = webp.Stack(*zip(*[shape_of(len(p)) for p in payloads])), np.frombuffer(raw, np.uint8).astype(np.uint32)
+        return webp.encode_all(stack, np.uint32(webp.OPAQUE) | grey << np.uint32(16) | grey << np.uint32(8) | grey, palette=True, cache_bits=4)
+    stack, pixels = webp.Stack(*zip(*[_square(len(p) // 4) for p in payloads])), np.frombuffer(raw, "<u4")
     if form == "predictor":
-        return webp.encode(image, predictor=webp.best_modes(image, 3), shift=3)
+        return webp.encode_all(stack, pixels, predictor=webp.all_modes(stack, pixels, 3), shift=3)
     if form == "cross":
-        return webp.encode(image, cross=webp.best_cross(image, 3), shift=3, green=True, cache_bits=6)
-    if form == "palette":
-        grey = np.frombuffer(payload, np.uint8).reshape(shape_of(len(payload))).astype(np.uint32)
-        return webp.encode(np.uint32(webp.OPAQUE) | grey << np.uint32(16) | grey << np.uint32(8) | grey, palette=True, cache_bits=4)
-    return webp.encode(image, cache_bits=8, groups=webp.row_groups(image, 3), meta_shift=3)
+        return webp.encode_all(stack, pixels, cross=webp.all_cross(stack, pixels, 3), shift=3, green=True, cache_bits=6)
+    return webp.encode_all(stack, pixels, cache_bits=8, groups=webp.all_groups(stack, pixels, 3), meta_shift=3)
 
 
 def encode_payload(payload: bytes) -> bytes:
@@ -84,12 +90,27 @@ def encode_payload(payload: bytes) -> bytes:
     chosen block by block, cross-colour with subtract-green and a colour cache, bundled palettes with a
     cache, or several prefix-code groups with a cache; all have back-references of any distance.
     """
-    out = []
-    for lo in range(0, len(payload), PART):
-        p = payload[lo : lo + PART]
-        form = form_of(p)
-        out.append(_rich(p, form) if form else webp.encode_gray(np.frombuffer(p, np.uint8).reshape(shape_of(len(p)))))
-    return b"".join(out)
+    return encode_payloads([payload])[0]
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """``encode_payload`` of each; images of one form are written together, up to about ``WRITTEN_AT_ONCE`` pixels of them."""
+    parts = [(i, p[lo : lo + PART]) for i, p in enumerate(payloads) for lo in range(0, len(p), PART)]
+    forms: dict[str | None, list[int]] = {}
+    for k, (_, p) in enumerate(parts):
+        forms.setdefault(form_of(p), []).append(k)
+    stored = [b""] * len(parts)
+    for form, own in forms.items():
+        part = np.cumsum([len(parts[k][1]) // (1 if form == "palette" else 4) for k in own]) // WRITTEN_AT_ONCE
+        for _, some in groupby(zip(part.tolist(), own), itemgetter(0)):
+            some = [k for _, k in some]
+            images = [parts[k][1] for k in some]
+            for k, m in zip(some, _rich(images, form) if form else [webp.encode_gray(np.frombuffer(p, np.uint8).reshape(shape_of(len(p)))) for p in images]):
+                stored[k] = m
+    out = [b""] * len(payloads)
+    for (i, _), m in zip(parts, stored):
+        out[i] += m
+    return out
 
 
 def _files(media: bytes) -> list[bytes]:
@@ -139,7 +160,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
             for lo in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(lo, ROWS_AT_ONCE)
                 raw = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([encode_payload(padded(r)) for r in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(encode_payloads([padded(r) for r in raw]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = spread(docs.select("doc_id", F.col(text).alias("text")))
     return materialise(rows.mapInArrow(run, rows.drop("text").schema.add("n_bytes", "long").add("media", "binary")))

@@ -23,8 +23,8 @@ from mattelake.llm.common import materialise, spread
 UNIT = 64
 #: A payload's rows are this wide, and wider only where an image would grow taller than the format allows.
 ROW = 256
-ROWS_AT_ONCE = 4096
-PIXELS_AT_ONCE = 1 << 22
+ROWS_AT_ONCE = 8192
+PIXELS_AT_ONCE = 3 << 21
 WRITTEN_AT_ONCE = 1 << 17
 
 
@@ -137,7 +137,9 @@ def decode_payloads(media: list[bytes]) -> Iterator[list[np.ndarray]]:
     """``decode_payload`` of each, where images of up to ``PIXELS_AT_ONCE`` in all are decoded together."""
     files = [(i, f) for i, m in enumerate(media) for f in _files(m)]
     counts = np.bincount([i for i, _ in files], minlength=len(media)).tolist()
-    part = np.cumsum([webp.pixels_of(f) for _, f in files]) // PIXELS_AT_ONCE
+    ends = np.cumsum([webp.pixels_of(f) for _, f in files])
+    parts = int(ends[-1]) // PIXELS_AT_ONCE + 1 if files else 1
+    part = ends * parts // (int(ends[-1]) + 1 if files else 1)
     decoded = (_samples(a) for _, some in groupby(zip(part.tolist(), files), itemgetter(0)) for a in webp.decode_many([f for _, (_, f) in some]))
     for n in counts:
         yield list(islice(decoded, n))

@@ -4,6 +4,8 @@ The decoder reads prefix codes, back-references and the colour cache, and invert
 cross-colour, subtract-green and palette transforms. Streams with one prefix-code group and no cache are
 decoded without a loop over pixels: the code that would start is looked up at every bit, jumps over
 sixteen codes come from doubling, and only every sixteenth position is walked one by one.
+Of many images, each step takes the next symbol of every image, and copies and cache hits are resolved by
+array (``decode_many``). The encoder writes many images by array too (``encode_all``).
 """
 
 from __future__ import annotations
@@ -106,12 +108,12 @@ def _tables_of(lengths: np.ndarray, first: np.ndarray, widths: np.ndarray) -> np
     if (length > widths[of]).any() or (np.bincount(of, share, len(first)) != 1 << widths).any():
         raise WebPError("a prefix code is not complete")
     straight = np.repeat((symbol << 5 | length).astype(np.int32), share)
-    start = np.cumsum(1 << widths) - (1 << widths)
-    out = np.empty_like(straight)
-    for w in np.flatnonzero(np.bincount(widths)).tolist():
-        at = start[widths == w][:, None]
-        out[at + np.arange(1 << w)] = straight[at + _reversed(w)]
-    return out
+    ends, out = np.cumsum(1 << widths).tolist(), []
+    edges = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(widths)]
+    for lo, hi in zip(edges, edges[1:]):
+        w = int(widths[lo])
+        out.append(straight[ends[lo] - (1 << w) : ends[hi - 1]].reshape(-1, 1 << w).take(_reversed(w), axis=1).ravel())
+    return np.concatenate(out)
 
 
 @lru_cache(maxsize=256)
@@ -600,9 +602,14 @@ class _Together:
         self.mask = self.size - 1
         counts = np.array([len(s.groups) for s in streams])
         self.group = np.cumsum(counts) - counts
-        sizes = np.repeat(self.size, counts)
-        self.group_at = 5 * (np.cumsum(sizes) - sizes)
-        self.table = _tables([c for s in streams for g in s.groups for c in g], np.repeat(np.array(width), 5 * counts))
+        # Tables of one size are next to each other.
+        widths, groups = np.repeat(np.array(width), counts), [g for s in streams for g in s.groups]
+        order = np.argsort(widths, kind="stable")
+        widths = widths[order]
+        sizes = np.int64(1) << widths
+        self.group_at = np.empty(len(order), np.int64)
+        self.group_at[order] = 5 * (np.cumsum(sizes) - sizes)
+        self.table = _tables([c for i in order.tolist() for c in groups[i]], np.repeat(widths, 5))
         role = np.repeat(np.tile(np.arange(5, dtype=np.uint8), len(sizes)), np.repeat(sizes, 5))
         symbol, bits = self.table >> 5, (self.table & 31).astype(np.uint8)
         of = np.flatnonzero((role == 0) & (symbol >= 256) & (symbol < 280))
@@ -610,7 +617,7 @@ class _Together:
         bits[(role == 0) & (symbol >= 280)] += 128
         of = np.flatnonzero(role == 4)
         bits[of] += _extras(symbol[of])[0].astype(np.uint8)
-        self.lengths = bits.astype(np.int64)
+        self.lengths = bits
         if several:
             # The group of each pixel.
             self.first = np.cumsum(self.totals) - self.totals
@@ -620,8 +627,8 @@ class _Together:
                 parts.append((wide.astype(np.int64) + g).ravel())
             self.pixel_at = self.group_at[np.concatenate(parts)]
 
-    def _places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(stream, place in bits, place of its group's tables) of symbols, in steps; some may follow a stream's last one."""
+    def _places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(stream, place in bits, place of its group's tables where there are several) of symbols; some may follow a stream's last one."""
         words, lengths, rich, several = self.words, self.lengths, self.rich, self.several
         lane = np.arange(len(self.streams))
         pos, at = self.start.copy(), np.zeros(len(lane), np.int64)
@@ -661,7 +668,9 @@ class _Together:
                             v = self.table[o0[on] + (w[on] & mask[on])]
                             more, low = _extras((v >> 5) - 256)
                             at[on] += low + ((w[on] >> (v & 31)) & ((1 << more) - 1))
-                    pos = pos + used + r + b
+                    used += r
+                    used += b
+                    pos = pos + used
                 else:
                     on = np.flatnonzero(u >= 64)
                     if len(on):
@@ -683,8 +692,7 @@ class _Together:
             tables.append(np.array(used, np.int64))
         lanes = np.concatenate(lanes)
         order = np.argsort(lanes, kind="stable")
-        lanes = lanes[order].astype(np.int64)
-        return lanes, np.concatenate(places)[order], np.concatenate(tables)[order] if several else self.group_at[self.group[lanes]]
+        return lanes[order], np.concatenate(places)[order], np.concatenate(tables)[order] if several else None
 
     def _alone(self, i: int, pos: int, at: int) -> tuple[list[int], list[int]]:
         """The places of a stream's further symbols, and those of their tables where there are several."""
@@ -741,7 +749,8 @@ class _Together:
         out = []
         for lo, hi in zip(edges, edges[1:]):
             on = slice(cut[lo], cut[hi])
-            out += self._resolved(lo, hi, lanes[on], places[on], tables[on])
+            lane = lanes[on].astype(np.int64)
+            out += self._resolved(lo, hi, lane, places[on], tables[on] if self.several else self.group_at[self.group[lane]])
         return out
 
     def _look(self, at: np.ndarray, p: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -1440,7 +1449,9 @@ def _canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def _nonzero(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.divmod(np.flatnonzero(table), table.shape[1])
+    place = np.flatnonzero(table)
+    row = place // table.shape[1]
+    return row, place - row * table.shape[1]
 
 
 def all_code_lengths(tally: np.ndarray, longest: np.ndarray) -> np.ndarray:
@@ -1666,7 +1677,7 @@ def _write_images(w: Writers, stack: Stack, flat: np.ndarray, cache_bits: int, r
     alphabets = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
     symbols = ((of, green), (own, px >> 16 & 255), (own, px & 255), (own, px >> 24 & 255), (of[copy], far))
     places = [(o * 5 + k) * alphabets[0] + v for k, (o, v) in enumerate(symbols)]
-    tally = sum(np.bincount(p, minlength=5 * rows * alphabets[0]) for p in places).reshape(5 * rows, -1)
+    tally = np.bincount(np.concatenate(places), minlength=5 * rows * alphabets[0]).reshape(5 * rows, -1)
     codes, lengths = _all_codes(tally)
     _write_codes(w, np.repeat(np.arange(stack.count), 5 * n_groups), tally, lengths)
     known = (codes | lengths << 16).ravel()

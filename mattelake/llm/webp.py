@@ -574,7 +574,7 @@ def _pixels_together(streams: list[Stream]) -> list[np.ndarray]:
         widths = [[c.width for c in g] for g in s.groups]
         if max(max(sum(w[:4]), w[0] + 14 + w[4] + 18) for w in widths) <= WINDOW and max(map(max, widths)) <= 12:
             if len(widths) > 1 or any(widths[0][:4]):
-                kinds.setdefault((any(map(any, (w[1:4] for w in widths))), len(widths) > 1), []).append(i)
+                kinds.setdefault((len(widths) > 1 or any(widths[0][1:4]), len(widths) > 1), []).append(i)
     for (rich, several), own in kinds.items():
         if len(own) > 1:
             for i, flat in zip(own, _Together([streams[i] for i in own], rich, several).pixels()):
@@ -796,8 +796,10 @@ class _Together:
                 q += w & 31
             p[literal] = q
         else:
-            for k, shift in ((1, 16), (2, 0), (3, 24)):
-                color |= (self.table.take(o[literal] + k * size[literal]) >> 5).astype(np.int64) << shift
+            # One group, in which the other three samples are the same everywhere.
+            x, step = self.group_at[self.group], self.size
+            same = sum((self.table[x + k * step] >> 5).astype(np.int64) << shift for k, shift in ((1, 16), (2, 0), (3, 24)))
+            color |= same[lane[literal]]
         last = np.searchsorted(lane, np.arange(lo, hi), side="right") - 1
         kept = heads + np.add.reduceat(inside.astype(np.int64), heads) - 1
         if (at[last] + sizes[last] < totals).any() or (p[kept] > self.end[lo:hi]).any():
@@ -829,7 +831,7 @@ class _Together:
         bit = np.repeat(np.where(bits > 0, 32 - bits, 31).astype(np.uint32), totals)
         slot = (flat * np.uint32(0x1E35A7BD) >> bit).astype(np.int64)
         slot[hit] = slot_hit
-        slot[copied] = slot[_roots(parent.copy(), copied)]
+        slot[copied] = slot[_roots(parent, copied)]
         key = (np.repeat(np.arange(hi - lo), totals) << 11 | slot) << 32 | np.arange(len(flat))
         key.sort()
         place = key & 0xFFFFFFFF
@@ -1332,10 +1334,18 @@ class Stack:
         self.count, self.total = len(self.sizes), int(self.sizes.sum())
         self.first = np.cumsum(self.sizes) - self.sizes
         self.of = np.repeat(np.arange(self.count), self.sizes)
-        self.wide = self.width[self.of]
-        place = np.arange(self.total) - self.first[self.of]
-        self.y = place // self.wide
-        self.x = place - self.y * self.wide
+
+    @cached_property
+    def wide(self) -> np.ndarray:
+        return self.width[self.of]
+
+    @cached_property
+    def y(self) -> np.ndarray:
+        return (np.arange(self.total) - self.first[self.of]) // self.wide
+
+    @cached_property
+    def x(self) -> np.ndarray:
+        return np.arange(self.total) - self.first[self.of] - self.y * self.wide
 
     def blocks(self, shift: int) -> tuple[Stack, np.ndarray]:
         """(images of a pixel for each block, the block of each pixel)."""
@@ -1670,7 +1680,7 @@ def _write_images(w: Writers, stack: Stack, flat: np.ndarray, cache_bits: int, r
         literal[hit] = False
         green[hit] = 280 + slot[at[hit]]
     length, more, extra = _prefixes(copies[:, 1])
-    far, far_more, far_extra = _prefixes(_short_distances(copies[:, 2], stack.wide[copies[:, 0]]))
+    far, far_more, far_extra = _prefixes(_short_distances(copies[:, 2], stack.width[stack.of[copies[:, 0]]]))
     green[copy] = 256 + length
     literal = np.flatnonzero(literal)
     own, px = of[literal], px[literal]
@@ -1691,7 +1701,16 @@ def _write_images(w: Writers, stack: Stack, flat: np.ndarray, cache_bits: int, r
     values[copy, 0] |= extra << n[copy]
     sizes[copy, 0] += more
     values[copy, 1], sizes[copy, 1] = e | far_extra << r, r + far_more
-    w.many(np.repeat(stack.of[at], 2), values.ravel(), sizes.ravel())
+    if sizes[literal, 1].any():
+        w.many(np.repeat(stack.of[at], 2), values.ravel(), sizes.ravel())
+    else:
+        # Where literals are in one piece, only copies have a second one.
+        both = np.ones(len(at), np.int64)
+        both[copy] = 2
+        second = np.cumsum(both)[copy] - 1
+        one, own = np.repeat(values[:, 0], both), np.repeat(sizes[:, 0], both)
+        one[second], own[second] = values[copy, 1], sizes[copy, 1]
+        w.many(np.repeat(stack.of[at], both), one, own)
 
 
 def _short_distances(back: np.ndarray, width: np.ndarray) -> np.ndarray:
